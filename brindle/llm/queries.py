@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import divergence, license_scan, sharding, url_rules
+from . import divergence, license_scan, sharding, superminhash, url_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -29,6 +29,11 @@ def association_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
 
 
+def super_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = superminhash.near_duplicates(table(spark, sf_dir, "documents"), words=2)
+    return out.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def distribution_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.measure(table(spark, sf_dir, "documents"))
 
@@ -37,6 +42,7 @@ QUERIES: dict[str, Query] = {
     "op1_license_digests": license_digests,
     "op4_histogram_sort": histogram_sort,
     "op6_association_rules": association_rules,
+    "op7_super_minhash": super_minhash,
     "op10_distribution_divergence": distribution_divergence,
 }
 
