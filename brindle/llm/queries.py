@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import divergence, license_scan, sharding, superminhash, url_rules
+from . import bpe, divergence, license_scan, sharding, superminhash, url_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -29,6 +30,17 @@ def association_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
 
 
+def tokenizer(name: str) -> str:
+    """A file of the public vocabularies; BRINDLE_TOKENIZERS names another folder for them."""
+    folder = os.environ.get("BRINDLE_TOKENIZERS", "/opt/tokenizers")
+    return os.path.join(folder, name)
+
+
+def transducer_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bpe.encode(docs, tokenizer("word_bpe_49k.json"), ids=None, digests=True).drop("text")
+
+
 def super_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = superminhash.near_duplicates(table(spark, sf_dir, "documents"), words=2)
     return out.select("doc_id", "n_shingles", "component_id", "kept")
@@ -41,6 +53,7 @@ def distribution_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_license_digests": license_digests,
     "op4_histogram_sort": histogram_sort,
+    "op5_transducer_bpe": transducer_bpe,
     "op6_association_rules": association_rules,
     "op7_super_minhash": super_minhash,
     "op10_distribution_divergence": distribution_divergence,
