@@ -8,7 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, divergence, license_scan, sharding, superminhash, url_rules
+from . import bpe, divergence, huffman, license_scan, sharding, superminhash, url_rules
+from .common import Scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -41,6 +42,12 @@ def transducer_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(docs, tokenizer("word_bpe_49k.json"), ids=None, digests=True).drop("text")
 
 
+def huffman_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    uri = Scratch(spark, "huffman").uri
+    huffman.write(table(spark, sf_dir, "documents"), uri, tokenizer("byte_bpe_50k.json"), end=2)
+    return huffman.read(spark, uri)
+
+
 def super_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = superminhash.near_duplicates(table(spark, sf_dir, "documents"), words=2)
     return out.select("doc_id", "n_shingles", "component_id", "kept")
@@ -56,6 +63,7 @@ QUERIES: dict[str, Query] = {
     "op5_transducer_bpe": transducer_bpe,
     "op6_association_rules": association_rules,
     "op7_super_minhash": super_minhash,
+    "op8_huffman_files": huffman_files,
     "op10_distribution_divergence": distribution_divergence,
 }
 
