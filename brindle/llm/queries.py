@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, divergence, huffman, license_scan, sharding, superminhash, url_rules
+from . import bpe, crf, divergence, huffman, license_scan, sharding, superminhash, url_rules
 from .common import Scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,6 +48,10 @@ def huffman_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return huffman.read(spark, uri)
 
 
+def crf_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crf.detect(table(spark, sf_dir, "documents"))
+
+
 def super_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = superminhash.near_duplicates(table(spark, sf_dir, "documents"), words=2)
     return out.select("doc_id", "n_shingles", "component_id", "kept")
@@ -64,6 +68,7 @@ QUERIES: dict[str, Query] = {
     "op6_association_rules": association_rules,
     "op7_super_minhash": super_minhash,
     "op8_huffman_files": huffman_files,
+    "op9_crf_spans": crf_spans,
     "op10_distribution_divergence": distribution_divergence,
 }
 
