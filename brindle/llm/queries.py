@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, crf, divergence, huffman, license_scan, ngram_trie, sharding, superminhash, url_rules
+from . import bpe, crf, decontaminate, divergence, huffman, license_scan, ngram_trie, sharding, superminhash, url_rules
 from .common import Scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,6 +56,10 @@ def trie_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_trie.score(table(spark, sf_dir, "documents"))
 
 
+def template_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def super_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = superminhash.near_duplicates(table(spark, sf_dir, "documents"), words=2)
     return out.select("doc_id", "n_shingles", "component_id", "kept")
@@ -68,6 +72,7 @@ def distribution_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_license_digests": license_digests,
     "op2_trie_scores": trie_scores,
+    "op3_template_windows": template_windows,
     "op4_histogram_sort": histogram_sort,
     "op5_transducer_bpe": transducer_bpe,
     "op6_association_rules": association_rules,
