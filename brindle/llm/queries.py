@@ -33,8 +33,11 @@ def association_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def tokenizer(name: str) -> str:
     """A file of the public vocabularies; BRINDLE_TOKENIZERS names another folder for them."""
-    folder = os.environ.get("BRINDLE_TOKENIZERS", "/opt/tokenizers")
-    return os.path.join(folder, name)
+    if folder := os.environ.get("BRINDLE_TOKENIZERS"):
+        return os.path.join(folder, name)
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def transducer_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
