@@ -14,7 +14,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, pieces, publish
+from .common import Scratch, letters_and_mark, pieces, publish
 
 # ---------------------------------------------------------------- the transducer
 
@@ -63,7 +63,7 @@ class Transducer:
         return self.ids[self.offsets[rank] : self.offsets[rank + 1]].tobytes()
 
 
-def compile_transducer(entries: dict[bytes, list[int]], folder: str) -> None:
+def compile_transducer(entries: dict[bytes, bytes], folder: str) -> None:
     """Build it from the sorted words by sharing equal states as soon as they can't change any more, and write its arrays."""
     words = sorted(entries)
     # a state: [final, {byte: state}, number of words at or below it]
@@ -108,7 +108,7 @@ def compile_transducer(entries: dict[bytes, list[int]], folder: str) -> None:
     order = np.argsort(np.array(keys, np.int64), kind="stable") if keys else np.zeros(0, np.int64)
     arrays = {
         "keys": np.array(keys, np.int64)[order], "targets": np.array(targets, np.int64)[order], "numbers": np.array(numbers, np.int64)[order], "final": final,
-        "offsets": np.concatenate(([0], np.cumsum([len(entries[w]) for w in words]))).astype(np.int64), "ids": np.array([i for w in words for i in entries[w]], np.uint32),
+        "offsets": np.concatenate(([0], np.cumsum([len(entries[w]) // 4 for w in words]))).astype(np.int64), "ids": np.frombuffer(b"".join(entries[w] for w in words), np.uint32),
     }
     for name, array in arrays.items():
         publish(os.path.join(folder, f"{name}.npy"), lambda f, a=array: np.save(f, a))
@@ -118,7 +118,7 @@ def compile_transducer(entries: dict[bytes, list[int]], folder: str) -> None:
 
 #: Of Latin letters up to U+017F, without spaces and controls, all are composed, and lower case is settled: such a part needs no library.
 PLAIN = regex.compile(r"[!-~\u00a1-\u017f]+\Z")
-PLAIN_WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+PLAIN_WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+|\n")
 
 
 def _byte_symbols() -> list[str]:
@@ -128,6 +128,9 @@ def _byte_symbols() -> list[str]:
     return [chr(b) if b in printable else chr(next(rest)) for b in range(256)]
 
 
+BYTE_OF = {c: b for b, c in enumerate(_byte_symbols())}
+
+
 class Vocabulary:
     """A tokenizer file of the kind: BPE with word ends, byte-level symbols, lower case, white space dropped."""
 
@@ -156,28 +159,44 @@ class Vocabulary:
         keys = left * self.size + right
         order = np.argsort(keys, kind="stable")
         self.pair_keys, self.pair_rank, self.pair_made = keys[order], order.astype(np.int64), made[order]
+        # ranks of the pairs of first symbols, which all have small ids
+        small = max(*self.inner, *self.final) + 1
+        self.first_rank = np.full((small, small), len(merges), np.int64)
+        self.first_rank[left[::-1][(left < small)[::-1] & (right < small)[::-1]], right[::-1][(left < small)[::-1] & (right < small)[::-1]]] = np.arange(len(merges))[::-1][(left < small)[::-1] & (right < small)[::-1]]
+        self.made_by_rank = made
         self.pairs = {(a, b): (rank, c) for rank, (a, b, c) in reversed(list(enumerate(merges)))}
+        #: Words merged last, and the marks that may follow plain ones.
+        self.merged: dict[bytes | str, bytes] = {}
+        self.most_merged = 400_000
+        self.marks = {c: np.uint32(self.final[ord(c)]).tobytes() for c in ".,;:!?"}
         # a table of bytes of tokens, each followed by a space, for decode()
         self.lengths = np.array([len(x) + 1 for x in self.names], np.int64)
         self.starts = np.concatenate(([0], np.cumsum(self.lengths)))[:-1]
         self.bytes = np.frombuffer(b"".join(x + b" " for x in self.names), np.uint8)
 
-    def parts(self, chunk: str) -> list[list[int]]:
-        """The symbols of each word of a chunk without spaces, or [-id - 1] for a special token."""
-        out = []
+    def parts(self, chunk: str) -> list[bytes | int]:
+        """The UTF-8 of each word of a chunk without spaces, or the id of a special token."""
+        out: list[bytes | int] = []
         for k, part in enumerate(self.split.split(chunk) if self.split and "<" in chunk else [chunk]):
             if k % 2:
-                out.append([-self.special[part] - 1])
-            elif PLAIN.match(part):
-                for word in PLAIN_WORD.findall(part.lower()):
-                    data = word.encode()
-                    symbols = [self.inner[b] for b in data]
-                    symbols[-1] = self.final[data[-1]]
-                    out.append(symbols)
+                out.append(self.special[part])
             elif part:
-                for word, _ in self.pre_tokenizer.pre_tokenize_str(self.normalizer.normalize_str(part)):
-                    if word:
-                        out.append([self.tokens[c] for c in word[:-1]] + [self.tokens[word[-1] + self.suffix]])
+                # the library gives each byte as a character
+                out += [bytes(map(BYTE_OF.__getitem__, word)) for word, _ in self.pre_tokenizer.pre_tokenize_str(self.normalizer.normalize_str(part)) if word]
+        return out
+
+    def parts_of_many(self, chunks: list[str]) -> list[list[bytes | int]]:
+        """parts() of each chunk; all plain ones by one pass of the pattern, in which each chunk ends with a line feed."""
+        out = [None if PLAIN.match(c) and "<|" not in c else self.parts(c) for c in chunks]
+        plain = [c for c, p in zip(chunks, out) if p is None]
+        words: list[bytes | int] = []
+        rows = iter([k for k, p in enumerate(out) if p is None])
+        for word in PLAIN_WORD.findall("\n".join([*plain, ""]).lower()) if plain else ():
+            if word == "\n":
+                out[next(rows)] = words
+                words = []
+            else:
+                words.append(word.encode())
         return out
 
     def merge(self, symbols: list[int]) -> list[int]:
@@ -207,54 +226,90 @@ class Vocabulary:
             offer(i)
         return [x for x in ids if x >= 0]
 
-    def merge_many(self, words: list[list[int]], longest: int = 48) -> list[list[int]]:
-        """Merge many words. Each round makes one merge in every short word that has one left."""
-        out: list[list[int]] = [w if len(w) < 2 else None for w in words]
-        for i, w in enumerate(words):
-            if len(w) > longest:
-                out[i] = self.merge(w)
-        live = np.array([i for i, w in enumerate(out) if w is None], np.int64)
+    def merge_many(self, words: list[bytes], longest: int = 48) -> list[bytes]:
+        """The ids (unsigned 32-bit) of many words. Each round makes one merge, the lowest in rank, then leftmost, in every word that has one left."""
+        out = [b""] * len(words)
+        sizes = np.array([len(w) for w in words], np.int64)
+        for i in np.flatnonzero(sizes > longest).tolist():
+            w = words[i]
+            out[i] = np.array(self.merge([*(self.inner[c] for c in w[:-1]), self.final[w[-1]]]), np.uint32).tobytes()
+        live = np.flatnonzero(sizes <= longest)
         if not len(live):
             return out
-        lengths = np.array([len(words[i]) for i in live], np.int64)
-        ids = np.array([x for i in live for x in words[i]], np.int64)
-        none = len(self.pair_keys)
+        lengths = sizes[live]
+        data = np.frombuffer(b"".join([words[i] for i in live.tolist()]), np.uint8)
+        ends = np.cumsum(lengths)
+        ids = np.array(self.inner, np.int64)[data]
+        ids[ends - 1] = np.array(self.final, np.int64)[data[ends - 1]]
+        none = len(self.made_by_rank)
+        # rank[i]: of the pair that begins at i
+        rank = np.full(len(ids), none, np.int64)
+        rank[:-1] = self.first_rank[ids[:-1], ids[1:]]
+        rank[ends - 1] = none
+        finished: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         while len(live):
-            starts = np.concatenate(([0], np.cumsum(lengths)[:-1]))
-            key = np.append(ids[:-1] * self.size + ids[1:], -1)
-            at = np.minimum(np.searchsorted(self.pair_keys, key), none - 1)
-            rank = np.where(self.pair_keys[at] == key, self.pair_rank[at], none)
-            rank[starts + lengths - 1] = none
-            # least rank, then leftmost
+            starts = np.cumsum(lengths) - lengths
             best = np.minimum.reduceat(rank * len(ids) + np.arange(len(ids)), starts)
-            where, least = best % len(ids), best // len(ids)
-            stuck = least == none
-            for k in np.flatnonzero(stuck):
-                out[live[k]] = ids[starts[k] : starts[k] + lengths[k]].tolist()
-            go = where[~stuck]
-            ids[go] = self.pair_made[at[go]]
+            least, where = np.divmod(best, len(ids))
+            go = least < none
+            if not go.all():
+                stuck = ~go
+                finished.append((live[stuck], lengths[stuck], ids[np.repeat(stuck, lengths)]))
+                keep = np.repeat(go, lengths)
+                moved = np.cumsum(keep) - 1
+                ids, rank, where, least = ids[keep], rank[keep], moved[where[go]], least[go]
+                live, lengths = live[go], lengths[go]
+                if not len(live):
+                    break
+                starts = np.cumsum(lengths) - lengths
+            ids[where] = self.made_by_rank[least]
             keep = np.ones(len(ids), bool)
-            keep[go + 1] = False
-            lengths = lengths - ~stuck
-            keep &= np.repeat(~stuck, lengths + ~stuck)
-            ids, live, lengths = ids[keep], live[~stuck], lengths[~stuck]
-            done = lengths == 1
-            if done.any():
-                starts = np.concatenate(([0], np.cumsum(lengths)[:-1]))
-                for k in np.flatnonzero(done):
-                    out[live[k]] = [int(ids[starts[k]])]
-                ids, live, lengths = ids[np.repeat(~done, lengths)], live[~done], lengths[~done]
+            keep[where + 1] = False
+            last = where + 1 == starts + lengths - 1
+            first = where == starts
+            lengths = lengths - 1
+            # the pairs to the right and left of the new symbol
+            right, left = where[~last], where[~first]
+            rank[where[last]] = none
+            rank[right] = self._rank(ids[right], ids[right + 2])
+            rank[left - 1] = self._rank(ids[left - 1], ids[left])
+            ids, rank = ids[keep], rank[keep]
+        at, counts, flat = (np.concatenate(x) for x in zip(*finished))
+        flat = flat.astype(np.uint32).tobytes()
+        stops = (4 * np.cumsum(counts)).tolist()
+        begin = 0
+        for i, stop in zip(at.tolist(), stops):
+            out[i] = flat[begin:stop]
+            begin = stop
         return out
 
-    def encode_chunks(self, chunks: list[str]) -> list[list[int]]:
-        """The ids of each chunk without spaces."""
-        words, counts = [], []
-        for chunk in chunks:
-            parts = self.parts(chunk)
-            counts.append(len(parts))
-            words += parts
-        merged = iter(self.merge_many(words))
-        return [[-x - 1 if x < 0 else x for _ in range(n) for x in next(merged)] for n in counts]
+    def _rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        key = a * self.size + b
+        at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
+        return np.where(self.pair_keys[at] == key, self.pair_rank[at], len(self.pair_keys))
+
+    def encode_chunks(self, chunks: list[str]) -> list[bytes]:
+        """The ids (unsigned 32-bit) of each chunk without spaces."""
+        out: list[bytes | None] = [None] * len(chunks)
+        merged = self.merged
+        if len(merged) > self.most_merged:
+            merged.clear()
+        simple, rest = [], []
+        for i, chunk in enumerate(chunks):
+            if found := letters_and_mark(chunk):
+                simple.append((i, found[0].lower(), found[1]))
+            else:
+                rest.append(i)
+        parts = self.parts_of_many([chunks[i] for i in rest])
+        # plain words are kept as text, others as bytes
+        words: list[str | bytes] = list({w for _, w, _ in simple} - merged.keys())
+        words += {w for p in parts for w in p if isinstance(w, bytes)} - merged.keys()
+        merged.update(zip(words, self.merge_many([w.encode() if isinstance(w, str) else w for w in words])))
+        for i, word, mark in simple:
+            out[i] = merged[word] + self.marks[mark] if mark else merged[word]
+        for i, p in zip(rest, parts):
+            out[i] = b"".join([np.uint32(w).tobytes() if isinstance(w, int) else merged[w] for w in p])
+        return out
 
     def decode(self, ids: np.ndarray) -> bytes:
         """UTF-8 of the tokens, joined by spaces: what a tokenizer file without a decoder gives."""
@@ -269,6 +324,11 @@ class Vocabulary:
 # ---------------------------------------------------------------- tables
 
 
+def split(text: str) -> list[str]:
+    """Chunks between spaces and line feeds, which this kind of tokenizer drops; a chunk may be empty."""
+    return text.replace("\n", " ").split(" ")
+
+
 def _windows(text: str, most: int = 1 << 20):
     """The text in parts that end before a space, for texts too long to be split at once."""
     at = 0
@@ -282,7 +342,7 @@ def _windows(text: str, most: int = 1 << 20):
 class Encoder:
     """Encodes texts by a vocabulary and a transducer; keeps the ids of the words seen last, most_words of them at most."""
 
-    def __init__(self, path: str, folder: str | None, most_words: int = 250_000):
+    def __init__(self, path: str, folder: str | None, most_words: int = 600_000):
         self.vocabulary = Vocabulary(path)
         self.lexicon = Transducer(folder) if folder else None
         self.most, self.known = most_words, {}
@@ -299,13 +359,13 @@ class Encoder:
                     self.known[w] = self.lexicon.output(r)
             missing = [w for w, r in zip(missing, ranks.tolist()) if r < 0]
         for w, ids in zip(missing, self.vocabulary.encode_chunks(missing)):
-            self.known[w] = np.array(ids, np.uint32).tobytes()
+            self.known[w] = ids
 
     def encode(self, text: str | None) -> np.ndarray:
         """The text's ids, as unsigned 32-bit integers."""
         out = []
         for window in _windows(text or ""):
-            words = window.split(" ")
+            words = split(window)
             try:
                 out.append(b"".join([self.known[w] for w in words]))
             except KeyError:
@@ -338,7 +398,7 @@ def build_lexicon(docs: DataFrame, path: str, folder: str, text: str = "text", w
             for piece in pieces(batch, "text", 1 << 20):
                 for t in piece.column("text").to_pylist():
                     for window in _windows(t or ""):
-                        seen.update(window.split(" "))
+                        seen.update(split(window))
                 if len(seen) > 400_000:
                     yield out()
                     seen.clear()
@@ -377,12 +437,12 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str | None = "id
     def run(batches):
         encoder = _encoder(path, folder)
         for batch in batches:
-            for piece in pieces(batch, name, 1 << 20):
+            for piece in pieces(batch, name, 2 << 20):
                 texts = piece.column(name).to_pylist()
                 words: set[str] = set()
                 for t in texts:
                     if t and len(t) <= 1 << 20:
-                        words.update(t.split(" "))
+                        words.update(split(t))
                 encoder.learn(words)
                 own = [encoder.encode(t) for t in texts]
                 columns = [piece.column(c) for c in kept]

@@ -8,6 +8,7 @@ import os
 import re
 import uuid
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, local_path, pieces, publish
+from .common import Scratch, letters_and_mark, local_path, pieces, publish
 
 MAGIC = b"BRNDHUF1"
 #: Ids of a block, and ids between two checkpoints of a block.
@@ -108,44 +109,102 @@ class Code:
 # ---------------------------------------------------------------- ids
 
 
+#: How byte-level vocabularies write a space.
+SPACE = "\u0120"
+
+
 class Words:
-    """Ids of texts by the tokenizers library, which gets each chunk once and each text with a special token whole.
+    """Ids of texts by the tokenizers library, which gets each word once.
 
     A chunk begins before each space that a character other than white space follows: a
-    byte-level pattern starts a token there whatever comes before.
+    byte-level pattern starts a token there whatever comes before. Of chunks of Latin letters
+    and a mark, or two such with a line feed between, the library's model gets the letters; any other chunk is encoded by the library
+    whole, and so is a text with a special token.
     """
 
     CUT = re.compile(r" (?=\S)")
     ODD = re.compile(r" (?:\s|\Z)")
 
-    def __init__(self, path: str, most: int = 200_000):
+    def __init__(self, path: str, most: int = 300_000):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.most, self.known = most, {}
         self.type = np.uint16 if self.library.get_vocab_size() <= 1 << 16 else np.uint32
+        #: ids of chunks that follow a space, by what follows it, and of words with and without a space before them
+        self.most, self.known, self.words = most, {}, {}
+        self.characters = str.maketrans({chr(b): c for b, c in enumerate(_byte_characters())})
+        self.code = "H" if self.type == np.uint16 else "I"
+        self.marks = {c: self._ids(c) for c in ".,;:!?"}
+        self.line_feed = self._ids("\n")
 
     def _ids(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, self.type).tobytes()
 
-    def chunks(self, text: str) -> list[str]:
-        parts = self.CUT.split(text) if self.ODD.search(text) else text.split(" ")
-        return [parts[0], *[" " + p for p in parts[1:]]]
+    def _word(self, word: str, before: str) -> bytes:
+        """Ids of letters, with the sign of a space before them or nothing."""
+        key = before + word
+        found = self.words.get(key)
+        if found is None:
+            plain = key if word.isascii() else before + word.encode().decode("latin-1").translate(self.characters)
+            found = self.words[key] = array(self.code, [t.id for t in self.library.model.tokenize(plain)]).tobytes()
+        return found
+
+    def _plain(self, chunk: str, before: str) -> bytes | None:
+        if found := letters_and_mark(chunk):
+            return self._word(found[0], before) + self.marks[found[1]] if found[1] else self._word(found[0], before)
+        return None
+
+    def _lines(self, chunk: str) -> bytes | None:
+        """Of a chunk of two plain ones with one line feed between, which is a token of its own there."""
+        a, _, b = chunk.partition("\n")
+        first = self._plain(a, SPACE)
+        second = first and self._plain(b, "")
+        return second and first + self.line_feed + second
+
+    def learn(self, chunks: set[str]) -> None:
+        """After this, all of the chunks are known."""
+        known = self.known
+        if len(known) > self.most:
+            known.clear()
+        if len(self.words) > self.most:
+            self.words.clear()
+        other = []
+        for c in chunks:
+            if c not in known:
+                found = self._lines(c) if "\n" in c else self._plain(c, SPACE)
+                if found:
+                    known[c] = found
+                else:
+                    other.append(c)
+        for k in range(0, len(other), 4096):
+            some = other[k : k + 4096]
+            for c, e in zip(some, self.library.encode_batch([" " + c for c in some], add_special_tokens=False)):
+                known[c] = np.array(e.ids, self.type).tobytes()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        split = [None if t and any(s in t for s in self.special) else self.chunks(t or "") for t in texts]
-        if len(self.known) > self.most:
-            self.known.clear()
-        missing = list({c for chunks in split if chunks for c in chunks} - self.known.keys())
-        for k in range(0, len(missing), 4096):
-            some = missing[k : k + 4096]
-            for c, e in zip(some, self.library.encode_batch(some, add_special_tokens=False)):
-                self.known[c] = np.array(e.ids, self.type).tobytes()
-        return [self._ids(t) if chunks is None else b"".join([self.known[c] for c in chunks]) for t, chunks in zip(texts, split)]
+        split, chunks = [], set()
+        for t in texts:
+            if t and any(s in t for s in self.special):
+                split.append(None)
+                continue
+            parts = self.CUT.split(t) if t and self.ODD.search(t) else (t or "").split(" ")
+            split.append(parts)
+            chunks.update(parts[1:])
+        self.learn(chunks)
+        known = self.known
+        # the first chunk has no space before it
+        return [self._ids(t) if parts is None else b"".join([self._plain(parts[0], "") or self._ids(parts[0]), *[known[c] for c in parts[1:]]]) for t, parts in zip(texts, split)]
+
+
+def _byte_characters() -> list[str]:
+    """The character that byte-level vocabularies have for each byte."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = iter(range(256, 512))
+    return [chr(b) if b in printable else chr(next(rest)) for b in range(256)]
 
 
 _words: dict[str, Words] = {}
@@ -168,7 +227,7 @@ def _raw(docs: DataFrame, folder: str, tokenizer: str, end: int, id: str, text:
         counts, offset, tail = np.zeros(size, np.int64), 0, np.array([end], words.type).tobytes()
         with open(name, "wb", buffering=1 << 20) as f:
             for batch in batches:
-                for piece in pieces(batch, "text", 1 << 20):
+                for piece in pieces(batch, "text", 2 << 20):
                     own = [x + tail for x in words.encode(piece.column("text").to_pylist())]
                     data = b"".join(own)
                     counts += np.bincount(np.frombuffer(data, words.type), minlength=size)
