@@ -31,26 +31,43 @@ _FULL = U64(0xFFFFFFFFFFFFFFFF)
 # ---------------------------------------------------------------- Elias-Fano
 
 
+_STEP = U64(0x0101010101010101)
+_HIGH = U64(0x8080808080808080)
+#: Where the r-th set bit of a byte is, by r * 256 + byte.
+_IN_BYTE = np.array([[([k for k in range(8) if b >> k & 1] + [0] * 8)[r] for b in range(256)] for r in range(8)], np.int64).reshape(-1)
+
+
 def _select(words: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """Where the rank-th (from 0) set bit of each word is."""
-    at = np.zeros(len(words), np.int64)
-    rank = rank.astype(np.int64)
-    for width in (32, 16, 8, 4, 2, 1):
-        below = np.bitwise_count(words & U64((1 << width) - 1)).astype(np.int64)
-        go = rank >= below
-        rank = np.where(go, rank - below, rank)
-        words = np.where(go, words >> U64(width), words)
-        at += go * width
+    """Where the rank-th (from 0) set bit of each word is: sums of its bytes' bits in one product, then a table."""
+    rank = rank.astype(np.uint64)
+    x = words - ((words >> U64(1)) & U64(0x5555555555555555))
+    x = (x & U64(0x3333333333333333)) + ((x >> U64(2)) & U64(0x3333333333333333))
+    sums = ((x + (x >> U64(4))) & U64(0x0F0F0F0F0F0F0F0F)) * _STEP
+    place = (np.bitwise_count(((rank * _STEP | _HIGH) - sums) & _HIGH).astype(np.uint64)) << U64(3)
+    rank = rank - (((sums << U64(8)) >> place) & U64(255))
+    return place.astype(np.int64) + _IN_BYTE[((rank << U64(8)) | ((words >> place) & U64(255))).astype(np.int64)]
+
+
+def _word_of(before: np.ndarray, marks: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """The word that holds the rank-th bit: the last with at most rank bits before it. marks: the word of every 64th; from there a few steps, and a search where those don't do."""
+    at = marks[rank >> 6].astype(np.int64)
+    live = np.arange(len(at))
+    for _ in range(4):
+        live = live[before[at[live] + 1] <= rank[live]]
+        if not len(live):
+            return at
+        at[live] += 1
+    at[live] = np.searchsorted(before, rank[live].astype(np.uint32), "right") - 1
     return at
 
 
 class EliasFano:
     """A monotone sequence: low bits packed, high bits in unary, with the ones and zeros before each word of them."""
 
-    FIELDS = ("low", "high", "ones", "zeros")
+    FIELDS = ("low", "high", "ones", "zeros", "one_marks", "zero_marks")
 
-    def __init__(self, n: int, width: int, low, high, ones, zeros):
-        self.n, self.width, self.low, self.high, self.ones, self.zeros = n, width, low, high, ones, zeros
+    def __init__(self, n: int, width: int, low, high, ones, zeros, one_marks, zero_marks):
+        self.n, self.width, self.low, self.high, self.ones, self.zeros, self.one_marks, self.zero_marks = n, width, low, high, ones, zeros, one_marks, zero_marks
 
     @classmethod
     def of(cls, values: np.ndarray) -> "EliasFano":
@@ -74,9 +91,11 @@ class EliasFano:
             word = place >> 6
             firsts = np.flatnonzero(np.diff(word, prepend=-1))
             high[word[firsts]] = np.bitwise_or.reduceat(U64(1) << (place & 63).astype(np.uint64), firsts)
-        ones = np.concatenate(([0], np.cumsum(np.bitwise_count(high), dtype=np.int64)))[:-1].astype(np.uint32)
-        zeros = (np.arange(len(high), dtype=np.int64) * 64 - ones).astype(np.uint32)
-        return cls(n, width, low, high, ones, zeros)
+        # one entry more than there are words: all bits lie before it
+        ones = np.concatenate(([0], np.cumsum(np.bitwise_count(high), dtype=np.int64))).astype(np.uint32)
+        zeros = (np.arange(len(high) + 1, dtype=np.int64) * 64 - ones).astype(np.uint32)
+        marks = [(np.searchsorted(x, np.arange(0, int(x[-1]) + 1, 64), "right") - 1).clip(0, len(high) - 1).astype(np.uint32) for x in (ones, zeros)]
+        return cls(n, width, low, high, ones, zeros, *marks)
 
     def lows(self, i: np.ndarray) -> np.ndarray:
         if not self.width:
@@ -92,13 +111,13 @@ class EliasFano:
         """The i-th values."""
         if not len(i):
             return np.zeros(0, np.int64)
-        word = np.searchsorted(self.ones, i.astype(np.uint32), "right") - 1
+        word = _word_of(self.ones, self.one_marks, i)
         place = word * 64 + _select(self.high[word], i - self.ones[word])
         return ((place - i) << self.width) | self.lows(i).astype(np.int64)
 
     def _bucket_end(self, high: np.ndarray) -> np.ndarray:
         """How many values have these high bits or less: the ones before the high-th zero."""
-        word = np.searchsorted(self.zeros, high.astype(np.uint32), "right") - 1
+        word = _word_of(self.zeros, self.zero_marks, high)
         return word * 64 + _select(~self.high[word], high - self.zeros[word]) - high
 
     def find(self, values: np.ndarray) -> np.ndarray:
@@ -362,14 +381,22 @@ def _ints(x: bytes, width: int) -> np.ndarray:
     return out.reshape(-1).view("<i8")
 
 
-def _grouped(shard: np.ndarray, a: np.ndarray, b: np.ndarray, c: np.ndarray, n: np.ndarray):
-    """Rows sorted by (shard, a, b, c), equal ones added up."""
-    order = np.lexsort(((b << 32) | c, (shard << 32) | a))
-    shard, a, b, c, n = (x[order] for x in (shard, a, b, c, n))
+def _grouped(shard: np.ndarray | None, a: np.ndarray, b: np.ndarray, c: np.ndarray, n: np.ndarray):
+    """Rows (32-bit numbers) sorted by (shard, a, b, c), equal ones added up."""
+    major = a.astype(np.uint64)
+    if shard is not None:
+        major |= shard.astype(np.uint64) << U64(32)
+    minor = b.astype(np.uint64)
+    minor <<= U64(32)
+    minor |= c
+    order = np.lexsort((minor, major))
+    major, minor = major[order], minor[order]
     first = np.ones(len(a), bool)
-    first[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (c[1:] != c[:-1])
+    first[1:] = (major[1:] != major[:-1]) | (minor[1:] != minor[:-1])
     firsts = np.flatnonzero(first)
-    return shard[firsts], a[firsts], b[firsts], c[firsts], np.add.reduceat(n, firsts) if len(firsts) else n
+    n = np.add.reduceat(n[order], firsts) if len(firsts) else n
+    major, minor = major[firsts], minor[firsts]
+    return (major >> U64(32)).astype(np.int64), major.astype(np.uint32), (minor >> U64(32)).astype(np.uint32), minor.astype(np.uint32), n
 
 
 def _count_trigrams(docs: DataFrame, sizes: Sizes) -> DataFrame:
@@ -381,11 +408,11 @@ def _count_trigrams(docs: DataFrame, sizes: Sizes) -> DataFrame:
 
         def out():
             a, b, c = (np.concatenate(x) for x in zip(*held))
-            shard, a, b, c, n = _grouped(_shard_of_pair(a, b, sizes.shards), a, b, c, np.ones(len(a), np.int64))
+            shard, a, b, c, n = _grouped(_shard_of_pair(a, b, sizes.shards), a, b, c, np.ones(len(a), np.uint32))
             cut = np.searchsorted(shard, np.arange(sizes.shards + 1))
             some = np.flatnonzero(np.diff(cut))
             # first words are sorted, so their differences are small, and compress
-            parts = [[pa.array([f(x[cut[s] : cut[s + 1]]) for s in some], pa.binary()) for x, f in ((a, lambda x: _bytes(np.diff(x, prepend=0), width)), (b, lambda x: _bytes(x, width)), (c, lambda x: _bytes(x, width)), (n, lambda x: x.astype(np.uint32).tobytes()))]]
+            parts = [[pa.array([f(x[cut[s] : cut[s + 1]]) for s in some], pa.binary()) for x, f in ((a, lambda x: _bytes(np.diff(x.astype(np.int64), prepend=0), width)), (b, lambda x: _bytes(x, width)), (c, lambda x: _bytes(x, width)), (n, lambda x: x.astype(np.uint32).tobytes()))]]
             return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), *parts[0]], names=["shard", "first", "second", "third", "n"])
 
         for batch in batches:
@@ -393,9 +420,9 @@ def _count_trigrams(docs: DataFrame, sizes: Sizes) -> DataFrame:
                 numbers, _, offsets = _ids(piece.column("text"), vocabulary)
                 one, two = _before(numbers, offsets, sizes)
                 last = offsets[1:] - 1
-                held.append((np.concatenate((two, one[last])), np.concatenate((one, numbers[last])), np.concatenate((numbers, np.full(len(last), sizes.unknown)))))
+                held.append(tuple(np.concatenate(x).astype(np.uint32) for x in ((two, one[last]), (one, numbers[last]), (numbers, np.full(len(last), sizes.unknown)))))
                 size += len(numbers)
-                if size > 2_000_000:
+                if size > 1_000_000:
                     yield out()
                     held, size = [], 0
         if held:
@@ -415,10 +442,13 @@ def _write_trie(sizes: Sizes):
     def run(table: pa.Table) -> pa.Table:
         width, vocabulary = _width(sizes), Vocabulary(sizes)
         s = table.column("shard")[0].as_py()
-        a = np.concatenate([np.cumsum(_ints(x, width)) for x in table.column("first").to_pylist()])
-        b, c = (np.concatenate([_ints(x, width) for x in table.column(k).to_pylist()]) for k in ("second", "third"))
-        n = np.concatenate([np.frombuffer(x, np.uint32) for x in table.column("n").to_pylist()]).astype(np.int64)
-        _, a, b, c, n = _grouped(np.zeros(len(a), np.int64), a, b, c, n)
+        blocks = lambda k, f: np.concatenate([f(x.as_buffer()) for x in table.column(k)])
+        a = blocks("first", lambda x: np.cumsum(_ints(x, width)).astype(np.uint32))
+        b, c = (blocks(k, lambda x: _ints(x, width).astype(np.uint32)) for k in ("second", "third"))
+        n = blocks("n", lambda x: np.frombuffer(x, np.uint32))
+        del table
+        _, a, b, c, n = _grouped(None, a, b, c, n)
+        a, b, c, n = (x.astype(np.int64) for x in (a, b, c, n))
         pair = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))))
         n2 = np.add.reduceat(n, pair)
         a2, b2 = a[pair], b[pair]
@@ -472,7 +502,7 @@ def _write_weights(sizes: Sizes):
     return run
 
 
-def train(docs: DataFrame, scratch: Scratch, text: str = "text", bytes_in_shard: int = 32 << 20) -> Sizes:
+def train(docs: DataFrame, scratch: Scratch, text: str = "text", bytes_in_shard: int = 16 << 20) -> Sizes:
     """Fit the model on all rows of docs and write its files. The driver gets a row for each shard.
 
     Counts are blocks of arrays that are added up within partitions before each of the three
@@ -618,7 +648,7 @@ def score(docs: DataFrame, id: str = "doc_id", text: str = "text", folds: int =
     def run(batches):
         scorer = Scorer(sizes)
         for batch in batches:
-            for piece in pieces(batch, "text", 2 << 20):
+            for piece in pieces(batch, "text", 4 << 20):
                 got = scorer.score(piece.column("text"))
                 yield pa.RecordBatch.from_arrays(
                     [piece.column("doc_id"), piece.column("held_out"), pa.array(got["n_tokens"], pa.int64()), pa.array(got["n_known"], pa.int64()), pa.array(np.full(piece.num_rows, sizes.tokens), pa.int64()), pa.array(got["base_score"], pa.float64()), pa.array(got["score"], pa.float64())],
