@@ -14,7 +14,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, letters_and_mark, pieces, publish
+from .common import Scratch, letters_and_marks, pieces, publish
 
 # ---------------------------------------------------------------- the transducer
 
@@ -296,7 +296,7 @@ class Vocabulary:
             merged.clear()
         simple, rest = [], []
         for i, chunk in enumerate(chunks):
-            if found := letters_and_mark(chunk):
+            if found := letters_and_marks(chunk):
                 simple.append((i, found[0].lower(), found[1]))
             else:
                 rest.append(i)
@@ -306,7 +306,15 @@ class Vocabulary:
         words += {w for p in parts for w in p if isinstance(w, bytes)} - merged.keys()
         merged.update(zip(words, self.merge_many([w.encode() if isinstance(w, str) else w for w in words])))
         for i, word, mark in simple:
-            out[i] = merged[word] + self.marks[mark] if mark else merged[word]
+            if not mark:
+                out[i] = merged[word]
+                continue
+            tail = self.marks.get(mark)
+            if tail is None:
+                tail = self.merge_many([mark.encode()])[0]
+                if len(self.marks) < 10_000:
+                    self.marks[mark] = tail
+            out[i] = merged[word] + tail
         for i, p in zip(rest, parts):
             out[i] = b"".join([np.uint32(w).tobytes() if isinstance(w, int) else merged[w] for w in p])
         return out

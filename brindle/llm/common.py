@@ -79,23 +79,15 @@ def remove_tree(path: str) -> None:
 
 
 #: Letters of Latin-1 and Latin Extended-A but U+0130, whose lower case is two characters: all composed.
-LATIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+")
-
-
-def letters_and_mark(chunk: str) -> tuple[str, str] | None:
-    """(letters, mark) of a chunk of Latin letters and at most one of .,;:!? after them; None for any other. Tokenizer patterns split such a chunk there and nowhere else."""
-    if chunk.isascii():
-        if chunk.isalpha():
-            return chunk, ""
-        head = chunk[:-1]
-        return (head, chunk[-1]) if chunk and chunk[-1] in ".,;:!?" and head.isalpha() else None
-    m = LATIN.match(chunk)
-    if not m:
-        return None
-    end = m.end()
-    if end == len(chunk):
+LATIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+)([!-/:-@\\[-`{-~]*)\\Z").match
+
+
+def letters_and_marks(chunk: str) -> tuple[str, str] | None:
+    """(letters, marks) of a chunk of Latin letters and then nothing but ASCII punctuation; None for any other. Tokenizer patterns split such a chunk there and nowhere else."""
+    if chunk.isalpha() and chunk.isascii():
         return chunk, ""
-    return (chunk[:end], chunk[end]) if end == len(chunk) - 1 and chunk[end] in ".,;:!?" else None
+    m = LATIN(chunk)
+    return m.groups() if m else None
 
 
 # ---------------------------------------------------------------- numpy text

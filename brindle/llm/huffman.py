@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, letters_and_mark, local_path, pieces, publish
+from .common import Scratch, letters_and_marks, local_path, pieces, publish
 
 MAGIC = b"BRNDHUF1"
 #: Ids of a block, and ids between two checkpoints of a block.
@@ -125,7 +125,7 @@ class Words:
     CUT = re.compile(r" (?=\S)")
     ODD = re.compile(r" (?:\s|\Z)")
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 900_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -138,7 +138,7 @@ class Words:
         self.most, self.known, self.words = most, {}, {}
         self.characters = str.maketrans({chr(b): c for b, c in enumerate(_byte_characters())})
         self.code = "H" if self.type == np.uint16 else "I"
-        self.marks = {c: self._ids(c) for c in ".,;:!?"}
+        self.marks = {"": b""} | {c: self._ids(c) for c in ".,;:!?"}
         self.line_feed = self._ids("\n")
 
     def _ids(self, text: str) -> bytes:
@@ -154,36 +154,46 @@ class Words:
         return found
 
     def _plain(self, chunk: str, before: str) -> bytes | None:
-        if found := letters_and_mark(chunk):
-            return self._word(found[0], before) + self.marks[found[1]] if found[1] else self._word(found[0], before)
+        if found := letters_and_marks(chunk):
+            letters, marks = found
+            if not marks:
+                return self._word(letters, before)
+            tail = self.marks.get(marks)
+            if tail is None:
+                tail = self._ids(marks)
+                if len(self.marks) < 10_000:
+                    self.marks[marks] = tail
+            return self._word(letters, before) + tail
         return None
 
     def _lines(self, chunk: str) -> bytes | None:
         """Of a chunk of two plain ones with one line feed between, which is a token of its own there."""
         a, _, b = chunk.partition("\n")
         first = self._plain(a, SPACE)
-        second = first and self._plain(b, "")
-        return second and first + self.line_feed + second
-
-    def learn(self, chunks: set[str]) -> None:
-        """After this, all of the chunks are known."""
+        second = self._plain(b, "") if first else None
+        return first + self.line_feed + second if second else None
+
+    def learn(self, chunks: set[str]) -> dict[str, bytes]:
+        """The ids of the chunks."""
+        for cache in (self.known, self.words):
+            if len(cache) > self.most:
+                cache.clear()
         known = self.known
-        if len(known) > self.most:
-            known.clear()
-        if len(self.words) > self.most:
-            self.words.clear()
-        other = []
+        out, other = {}, []
         for c in chunks:
-            if c not in known:
+            found = known.get(c)
+            if found is None:
                 found = self._lines(c) if "\n" in c else self._plain(c, SPACE)
-                if found:
-                    known[c] = found
-                else:
+                if found is None:
                     other.append(c)
+                    continue
+                known[c] = found
+            out[c] = found
         for k in range(0, len(other), 4096):
             some = other[k : k + 4096]
             for c, e in zip(some, self.library.encode_batch([" " + c for c in some], add_special_tokens=False)):
-                known[c] = np.array(e.ids, self.type).tobytes()
+                out[c] = known[c] = array(self.code, e.ids).tobytes()
+        return out
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         split, chunks = [], set()
@@ -194,8 +204,7 @@ class Words:
             parts = self.CUT.split(t) if t and self.ODD.search(t) else (t or "").split(" ")
             split.append(parts)
             chunks.update(parts[1:])
-        self.learn(chunks)
-        known = self.known
+        known = self.learn(chunks)
         # the first chunk has no space before it
         return [self._ids(t) if parts is None else b"".join([self._plain(parts[0], "") or self._ids(parts[0]), *[known[c] for c in parts[1:]]]) for t, parts in zip(texts, split)]
 

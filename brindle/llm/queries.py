@@ -85,4 +85,8 @@ QUERIES: dict[str, Query] = {
     "op10_distribution_divergence": distribution_divergence,
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_license_digests": license_scan.oracle_sql()}
+ORACLE_SQL: dict[str, str] = {
+    "op1_license_digests": license_scan.oracle_sql(),
+    "op6_association_rules": url_rules.oracle_sql(),
+    "op7_super_minhash": superminhash.oracle_sql(2),
+}

@@ -331,8 +331,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id: str
 
     Equal sets become one class before anything else, so exact copies cost a row each. In a
     bucket of classes that share a band, every member is compared with the least one; members
-    that are still in different components then are compared with each other, in blocks of about
-    `block` members, each pair in the first band that it shares. Nothing is capped.
+    that this leaves outside the least one's component are then compared with all others, in blocks
+    of about `block` members, each pair in the first band that it shares. Nothing is capped.
     """
     scratch = Scratch(docs.sparkSession, "near")
     rows = scratch.table(sketch(docs, scratch.folder("sets"), words, id, text), "sketch")
@@ -347,9 +347,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id: str
     labels = components(stars, scratch, "stars-components")
     # buckets of two are done; others may hold links beside the leader's
     rest = members.where("size > 2").join(labels.withColumnRenamed("node", "row"), "row", "left").withColumn("root", F.coalesce("root", "row"))
-    mixed = rest.groupBy("key").agg((F.min("root") < F.max("root")).alias("mixed")).where("mixed").select("key")
-    spread = rest.join(mixed, "key").withColumn("blocks", F.ceil(F.col("size") / block).cast("int")).withColumn("own", F.pmod(F.xxhash64("row"), "blocks").cast("int"))
-    spread = spread.select("key", "band", "row", "root", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    mixed = rest.groupBy("key").agg(F.min(F.struct("row", "root"))["root"].alias("main"), (F.min("root") < F.max("root")).alias("mixed")).where("mixed").select("key", "main")
+    rest = rest.join(mixed, "key").withColumn("outside", F.col("root") != F.col("main"))
+    # members outside the leader's component, in blocks of their own, meet all blocks; the others meet only those
+    blocks = rest.groupBy("key").agg(F.ceil(F.count_if("outside") / block).cast("int").alias("out"), F.ceil(F.count_if(~F.col("outside")) / block).cast("int").alias("in"))
+    mine = F.when(F.col("outside"), F.pmod(F.xxhash64("row"), "out")).otherwise(F.col("out") + F.pmod(F.xxhash64("row"), "in")).cast("int")
+    partners = F.sequence(F.lit(0), F.when(F.col("outside"), F.col("out") + F.col("in")).otherwise(F.col("out")) - 1)
+    spread = rest.join(blocks, "key").select("key", "band", "row", "root", mine.alias("own"), F.explode(partners).alias("other"))
     i, j = F.least("own", "other"), F.greatest("own", "other")
     side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
     spread = spread.select("key", i.alias("i"), j.alias("j"), "band", "row", "root", side.alias("side"))
@@ -383,3 +387,18 @@ def keep_one(docs: DataFrame, words: int = 5, percent: int = 80, id: str = "doc_
 
     kept = hashed.join(keep, same(keep), "left_semi")
     return kept.join(repeated, same(repeated), "left_anti").union(kept.join(repeated, same(repeated), "left_semi").dropDuplicates([id, "__text_hash"])).drop("__text_hash")
+
+
+def oracle_sql(words: int, percent: int = 80) -> str:
+    """DuckDB SQL for doc_id, n_shingles, component_id and kept over documents with distinct ids: all pairs that share a shingle, then reachability."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    shingle = " || ' ' || ".join(f"w[i + {k}]" for k in range(words))
+    return f"""
+        WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{lower}'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+        s AS (SELECT doc_id, CASE WHEN len(w) >= {words} THEN list_distinct([{shingle} for i in range(1, len(w) - {words - 2})]) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM w),
+        e AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s),
+        p AS (SELECT a.doc_id AS x, b.doc_id AS y FROM e a JOIN e b ON a.g = b.g AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= {percent} * greatest(a.n, b.n) GROUP BY 1, 2, a.n, b.n HAVING 100 * count(*) >= {percent} * (a.n + b.n - count(*))),
+        l AS (SELECT x, y FROM p UNION ALL SELECT y, x FROM p),
+        r AS (SELECT DISTINCT x AS a, x AS b FROM l UNION SELECT r.a, l.y FROM r JOIN l ON l.x = r.b),
+        c AS (SELECT a, min(b) AS m FROM r GROUP BY a)
+        SELECT doc_id, len(s)::bigint AS n_shingles, coalesce(m, doc_id) AS component_id, coalesce(m, doc_id) = doc_id AS kept FROM s LEFT JOIN c ON c.a = doc_id"""

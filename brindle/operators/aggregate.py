@@ -375,7 +375,7 @@ def _filters(index: Index, df: DataFrame, name: str, body: dict) -> Level:
     if other:
         none = F.lit(True)
         for _, c in conditions:
-            none &= ~c
+            none &= ~F.coalesce(c, F.lit(False))
         conditions.append((other, none))
     return Level(_masked(df, name, conditions), name, fixed=[k for k, _ in conditions])
 

@@ -24,14 +24,18 @@ REFUSED = ("intervals", "match_phrase_prefix", "span_term", "span_near", "span_f
 
 @dataclass
 class Clause:
-    """pred never is null: a row matches or doesn't. score: its score where it matches."""
+    """pred: whether a row matches; null counts as no. It stays as plain as the query allows, since a comparison inside coalesce() isn't pushed to the scan. score: the score where it matches."""
 
     pred: Column
     score: Column
 
     @classmethod
     def of(cls, pred: Column, boost: float = 1.0) -> "Clause":
-        return cls(F.coalesce(pred, F.lit(False)), F.lit(float(boost)))
+        return cls(pred, F.lit(float(boost)))
+
+    def certain(self) -> Column:
+        """pred without nulls."""
+        return F.coalesce(self.pred, F.lit(False))
 
 
 def translate(index: Index, query: dict | None) -> Clause:
@@ -221,14 +225,14 @@ def _bool(index: Index, body: dict) -> Clause:
     for c in (*must, *filters):
         pred &= c.pred
     for c in never:
-        pred &= ~c.pred
+        pred &= ~c.certain()
     least = body.get("minimum_should_match")
     if should:
         least = (0 if must or filters else 1) if least is None else _minimum(least, len(should))
         if least == 1:
             pred &= reduce(lambda a, b: a | b, (c.pred for c in should))
         elif least > 1:
-            pred &= reduce(lambda a, b: a + b, (c.pred.cast("int") for c in should)) >= least
+            pred &= reduce(lambda a, b: a + b, (c.certain().cast("int") for c in should)) >= least
     score = F.lit(0.0)
     for c in must:
         score += c.score
@@ -288,7 +292,7 @@ def _function_score(index: Index, body: dict) -> Clause:
     values = []
     for f in functions:
         value = _function(index, f)
-        on = translate(index, f["filter"]).pred if "filter" in f else F.lit(True)
+        on = translate(index, f["filter"]).certain() if "filter" in f else F.lit(True)
         values.append((on, value))
     mode = body.get("score_mode", "multiply")
     some = reduce(lambda a, b: a | b, (on for on, _ in values))

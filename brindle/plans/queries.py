@@ -339,7 +339,7 @@ text("f_match_and", {"match": {"text": {"query": "the idiot", "operator": "AND"}
 text("f_match_benchmark", {"match": {"text": {"query": "that was", "boost": 2.0}}}, ["that", "was"], f"{_HAS('that')} OR {_HAS('was')}", "2 * (" + _bm25(["that", "was"], "benchmark")[1] + ")", "benchmark")
 text("f_bool_filter", {"bool": {"must": [{"match": {"text": "idiot clown"}}], "filter": [{"exists": {"field": "text"}}], "must_not": [{"match": {"text": "worthless"}}]}}, ["idiot", "clown"], f"({_HAS('idiot')} OR {_HAS('clown')}) AND NOT {_HAS('worthless')}")
 text("f_boost", {"fts_boost": {"positive": {"match": {"text": "idiot"}}, "negative": {"match": {"text": "clown"}}, "negative_boost": 0.5}}, ["idiot"], _HAS("idiot"), "(" + _bm25(["idiot"])[1] + f") * CASE WHEN {_HAS('clown')} THEN 0.5 ELSE 1.0 END")
-text("f_constant", {"constant_score": {"filter": {"match": {"text": "idiot"}}, "boost": 3}}, ["idiot"], _HAS("idiot"), "(3.0 + 0 * len(t))")
+text("f_constant", {"constant_score": {"filter": {"match": {"text": "idiot"}}, "boost": 3}}, ["idiot"], _HAS("idiot"), "(3.0::double + 0 * len(t))")
 
 
 def _phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
