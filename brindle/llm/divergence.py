@@ -123,6 +123,20 @@ def js_distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.sqrt(np.clip((left + right) / 2, 0, 1))
 
 
+#: Limits as shares of two distances that each reference has of its own: of a text without any common word, and of a table (a symbol and a space more for each space).
+WORD_SHARE, TABLE_SHARE = 0.85, 0.65
+
+
+def limits(of_class: np.ndarray, of_word: np.ndarray) -> tuple[float, float]:
+    """The largest class distance, and the largest word distance of a text with a smaller share of common words than the reference. A reference without common words sets no limit for words."""
+    table = of_class.copy()
+    table[[CLASSES.index("space"), CLASSES.index("symbol")]] += of_class[CLASSES.index("space")]
+    bare = np.zeros(N_WORD)
+    bare[-1] = 1
+    by_class = TABLE_SHARE * js_distance(table[None] / table.sum(), of_class)[0]
+    return by_class or np.inf, (WORD_SHARE * js_distance(bare[None], of_word)[0]) or np.inf
+
+
 def references(docs: DataFrame, text: str = "text", lang: str = "lang") -> dict[str, tuple[np.ndarray, np.ndarray]]:
     """For each language of COMMON, the summed histograms of all its documents. The driver gets one row of fixed width a language. A language without words has no reference."""
 
@@ -154,24 +168,30 @@ def _judge(refs, min_chars, min_words, most_class, most_word, column, langs):
     base = base_counts(column)
     by_class, by_word = histograms(column)
     n = len(column)
-    distance = np.full((2, n), np.nan)
+    distance, most = np.full((2, n), np.nan), np.array([[most_class], [most_word]]).repeat(n, 1)
     langs = np.array(langs, object)
     for k, (of_class, of_word) in refs.items():
         own = langs == k
         if own.any():
             distance[0, own], distance[1, own] = js_distance(by_class[own], of_class), js_distance(by_word[own], of_word)
+            class_limit, word_limit = limits(of_class, of_word)
+            few = by_word[own, -1] > of_word[-1] * by_word[own].sum(1)
+            most[0, own] = min(most_class, class_limit)
+            most[1, own] = np.where(few, min(most_word, word_limit), most_word)
     distance[0, by_class.sum(1) < min_chars] = np.nan
     distance[1, base["n_words"] < min_words] = np.nan
     failed = (base["n_words"] < 20) | (100 * base["n_repeat_words"] > 30 * base["n_words"])
     with np.errstate(invalid="ignore"):
-        far = (distance[0] > most_class) | (distance[1] > most_word)
+        far = (distance > most).any(0)
     return base, distance, failed, ~(failed | far)
 
 
 def measure(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "lang", min_chars: int = 200, min_words: int = 50, most_class: float = 0.3, most_word: float = 0.42) -> DataFrame:
     """One row for each row of docs: base counts, both distances from the language's reference, base_failed and kept.
 
-    The references are sums over all rows of docs. A distance is null, and rejects nothing, under
+    The references are sums over all rows of docs. most_class and most_word are the largest
+    limits; each reference's own limits() lie below them, so that word lists, tables and junk
+    without common words go. A distance is null, and rejects nothing, under
     the minimum length, for a null or unknown language, or for a language without words. A null
     text counts as empty: no words, so base_failed. Repeated rows give repeated rows; an empty
     table gives an empty one. Other columns of docs are not read.

@@ -562,6 +562,25 @@ def test_divergence(spark, edges, nothing):
     assert divergence.keep_good(nothing).count() == 0 and divergence.keep_good(edges).columns == edges.columns
 
 
+def test_junk_without_common_words_goes(spark):
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("bcdfgklmnprst") + r.choice("aeiou") for _ in range(3))
+    common = {k: divergence.COMMON[k][:12] for k in divergence.COMMON}
+    docs, junk, k = [], set(), 0
+    for lang, own in common.items():
+        for _ in range(60):
+            docs.append((k, " ".join(r.choice(own) if r.random() < 0.23 else word() for _ in range(150)) + ".", lang))
+            k += 1
+        for text in (" ".join(word() for _ in range(120)), " | ".join(word() for _ in range(120)), "\n".join(word().title() + "," for _ in range(120)), " | ".join(r.choice(own) if r.random() < 0.15 else word() for _ in range(120))):
+            docs.append((k, text, lang))
+            junk.add(k)
+            k += 1
+    docs.append((k, " ".join(r.choice(common["en"]) if r.random() < 0.45 else word() for _ in range(150)), "en"))
+    kept = {r["doc_id"] for r in divergence.measure(table(spark, docs)).where("kept").collect()}
+    assert kept == set(range(k + 1)) - junk
+    assert {r["doc_id"] for r in divergence.keep_good(table(spark, docs)).collect()} == kept
+
+
 def test_base_verdict_at_scale(spark):
     docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{DATA}/sf0.001/documents.parquet").collect()}
     for r in queries.distribution_divergence(spark, f"{DATA}/sf0.001").collect():
