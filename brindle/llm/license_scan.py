@@ -21,6 +21,7 @@ SPELLINGS = {
     "licence": "license", "licences": "licenses", "licenced": "licensed", "licencing": "licensing", "sublicence": "sublicense", "organisation": "organization", "organisations": "organizations", "authorised": "authorized", "recognised": "recognized", "favour": "favor", "honour": "honor",
     "judgement": "judgment", "acknowledgement": "acknowledgment", "acknowledgements": "acknowledgments", "merchantibility": "merchantability", "noninfringement": "non infringement", "analogue": "analog", "catalogue": "catalog", "fulfil": "fulfill", "whilst": "while", "copyrightholder": "copyright holder",
     "v2": "version 2", "v3": "version 3", "gpl": "gnu general public license", "lgpl": "gnu lesser general public license", "centre": "center", "utilisation": "utilization",
+    "noncommercial": "non commercial", "sharealike": "share alike", "noderivatives": "no derivatives", "noderivs": "no derivatives",
 }
 
 _MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
@@ -66,6 +67,25 @@ _APACHE_NOTICE = """Licensed under the Apache License, Version 2.0 (the "License
 
 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."""
 
+
+def _creative_commons() -> list[tuple[str, str]]:
+    """Notices of the six licences, by version and without one, in short and long spellings. canonical() makes cc/by-nc and CC-BY-NC the same."""
+    longs = {"BY": "Attribution", "BY-SA": "Attribution-ShareAlike", "BY-ND": "Attribution-NoDerivatives", "BY-NC": "Attribution-NonCommercial", "BY-NC-SA": "Attribution-NonCommercial-ShareAlike", "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives"}
+    plain = ("Licensed under {}.", "This work is licensed under {}.", "Licensed under the {} License.", "This work is licensed under the {} License.")
+    out = []
+    for kind, long in longs.items():
+        for version, port in (("", ""), ("1.0", "Generic"), ("2.0", "Generic"), ("2.5", "Generic"), ("3.0", "Unported"), ("4.0", "International")):
+            name = f"CC-{kind}-{version}".rstrip("-")
+            texts = [x.format(f"CC {kind} {version}".strip()) for x in (*plain, "License: {}", "Released under the {} License.")]
+            for full in dict.fromkeys(f"Creative Commons {long} {x}".strip() for x in (version, f"{version} {port}".strip())):
+                texts += [x.format(full) for x in (*plain, "Licensed under a {} License.", "This work is licensed under a {} License.")]
+            if version:
+                url = f"https://creativecommons.org/licenses/{kind.lower()}/{version}/"
+                texts += [f"SPDX-License-Identifier: {name}", f"Licensed under {url}", f"This work is licensed under {url}"]
+            out += [(name, x) for x in texts]
+    return out
+
+
 #: (licence, text): public licences that are short enough to be kept here, each with and without its title, and notices of one line.
 KNOWN: tuple[tuple[str, str], ...] = (
     ("MIT", _MIT), ("MIT", "MIT License\n\n" + _MIT), ("MIT", "The MIT License (MIT)\n\n" + _MIT), ("ISC", _ISC), ("ISC", "ISC License\n\n" + _ISC), ("BSD-2-Clause", _BSD_HEAD + _BSD_TAIL), ("BSD-2-Clause", "BSD 2-Clause License\n\n" + _BSD_HEAD + _BSD_TAIL), ("BSD-3-Clause", _BSD_HEAD + _BSD_NAME + _BSD_TAIL), ("BSD-3-Clause", "BSD 3-Clause License\n\n" + _BSD_HEAD + _BSD_NAME + _BSD_TAIL),
@@ -73,6 +93,7 @@ KNOWN: tuple[tuple[str, str], ...] = (
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."), ("GPL-3.0", "Licensed under the GNU General Public License, version 3."), ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."), ("GPL-2.0", "Licensed under the GNU General Public License, version 2."), ("LGPL-3.0", "Licensed under the GNU Lesser General Public License, version 3."), ("BSD-3-Clause", "Licensed under the BSD 3-Clause License."), ("BSD-2-Clause", "Licensed under the BSD 2-Clause License."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."), ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."), ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."), ("CC0-1.0", "This work is dedicated to the public domain under CC0 1.0 Universal."),
     *((x, f"SPDX-License-Identifier: {x}") for x in ("MIT", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "ISC", "GPL-2.0-only", "GPL-3.0-only", "MPL-2.0", "Unlicense", "Zlib", "CC0-1.0", "CC-BY-4.0")),
+    *_creative_commons(),
 )
 
 _WORD = r"(^| )({})( |$)"

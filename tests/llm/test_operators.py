@@ -52,6 +52,16 @@ def test_licenses(spark, edges, nothing):
     assert rows_of(license_scan.scan(table(spark, [(1, "my VERY own words")]), own), "license") == [("Own",)]
 
 
+def test_notices_by_hand(spark):
+    lines = [
+        ("Licensed under CC BY-NC 4.0.", "CC-BY-NC-4.0"), ("This work is licensed under the GNU General Public License, version 3.", "GPL-3.0"), ("Released under the MIT License.", "MIT"), ("Licensed under the Apache License, Version 2.0.", "Apache-2.0"),
+        ("licensed under cc/by-nc", "CC-BY-NC"), ("Licenced under CC-BY-NC-ND 3.0", "CC-BY-NC-ND-3.0"), ("# SPDX-License-Identifier: CC-BY-NC-SA-4.0", "CC-BY-NC-SA-4.0"), ("Licensed under CC BY 4.0.", "CC-BY-4.0"), ("Licensed under CC BY-SA 3.0.", "CC-BY-SA-3.0"),
+        ("This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivs 3.0 Unported License.", "CC-BY-NC-ND-3.0"), ("This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "CC-BY-NC-4.0"), ("Licensed under CC BY-ND 2.0.", "CC-BY-ND-2.0"),
+    ]
+    docs = table(spark, [(i, f"Some prose.\n{x}\nMore prose.") for i, (x, _) in enumerate(lines)])
+    assert {r["doc_id"]: (r["n_notices"], r["notices"]) for r in license_scan.scan(docs).collect()} == {i: (1, k) for i, (_, k) in enumerate(lines)}
+
+
 # ---------------------------------------------------------------- 2
 
 
