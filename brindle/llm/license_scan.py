@@ -8,9 +8,30 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Words after "copyright" that make it part of a sentence, not of a notice; and those that begin an item "(c)" of a list.
+BODY_WORDS = "notice notices holder holders owner owners ownership law laws interest interests license licenses licence licences statement statements permission permissions treaty treaties disclaimer disclaimers protection right rights claim claims material materials status act grant information and or in on of to for is are was as if that which under".split()
+ITEM_WORDS = "you under if in for to any a an such where when must neither nor prohibiting".split()
+
+
+def _other(words: list[str]) -> str:
+    """Matches the beginning of a word that is none of words, with a character after it or at the line's end. A trie, as RE2 has no lookahead."""
+    heads: dict[str, list[str]] = {}
+    for w in words:
+        if w:
+            heads.setdefault(w[0], []).append(w[1:])
+    rest = "".join(sorted(heads))
+    out = [f"{c}{_other(x)}" for c, x in sorted(heads.items())]
+    if "" not in words:
+        out += [rf"[^{rest}\n]", r"\b"]
+    elif others := "".join(c for c in LOWER if c not in heads):
+        out.append(f"[{others}]")
+    return f"(?:{'|'.join(out)})"
+
+
+_NOTICE = rf"copyright(?:[^a-z \t\n,.;)/'\"-]|[ \t]+(?:[^a-z \t\n]|{_other(BODY_WORDS + [''])}))[^\n]*|\(c\)(?:[^a-z \t\n]|[ \t]+(?:[^a-z \t\n]|{_other(ITEM_WORDS + [''])}))[^\n]*|©[^\n]*"
 #: Applied in order to the lower-cased text, in the dialect that Java and RE2 share. A copyright line goes, as do marks of lists and comments.
 STEPS = (
-    (r"(^|\n)[ \t#*/;]*(copyright|\(c\)|©)[^\n]*", "\n"),
+    (rf"(^|\n)[ \t#*/;]*(?:{_NOTICE})", "\n"),
     (r"(^|\n)[ \t#*/;]*all rights reserved[^\n]*", "\n"),
     (r"(^|\n)[ \t]*(\(?[0-9a-z][.)]|[*#/;-]+)[ \t]+", "\n"),
     (r"https?://", ""),
@@ -96,6 +117,26 @@ KNOWN: tuple[tuple[str, str], ...] = (
     *_creative_commons(),
 )
 
+#: (licence, digest of the canonical text) of long licences. AGPL, EPL and editions with other addresses are missing.
+LONG: tuple[tuple[str, str], ...] = (
+    ("Apache-2.0", "0f514ad177997cefd0881d134b0cd69b97e96a51610824faed1112806e878a33"),
+    ("Apache-2.0", "d55a30b6ea3cb94b192108722fb09f157b6af953505f03622be762a33038db90"),  # up to the end of the terms
+    ("GPL-1.0", "226ec257733c7ff7578cf817e50df013e011328b04c35b903608f8979c5aff95"),
+    ("GPL-1.0", "7beecf55d9942099544f628d2c2cd364b7046a02828bdfcadb90800a13528269"),  # up to the end of the terms
+    ("GPL-2.0", "392fbc9eea204dba2f725fb0cb16d100d14f199b0c50e6ebdcdf1a375a437d10"),
+    ("GPL-2.0", "a50ebd34b230998ee6c1b17d1c8adbc5f9b2efc5aace9af21f78678764bcb09c"),  # up to the end of the terms
+    ("GPL-3.0", "62dd5f754f69b36326f90555ba4036401c752656eb677a97e29860b8610cf2fd"),
+    ("GPL-3.0", "2649605802f80a34f221663fc269c57089c6cd504add04b76b3f652c086728ae"),  # up to the end of the terms
+    ("LGPL-2.0", "0babd739e1d1ab5d3abd70928db284f5eb138cd6026db54086178cdef5c22fef"),
+    ("LGPL-2.0", "aade5d97185f3a0dcf4ca67ada3e92799ee451b4e56c79e329d8d7083811bcdc"),  # up to the end of the terms
+    ("LGPL-2.1", "b3a541fcca69ff4b2ff91ea4ef34f7ae2a9e35ed6e9a9646acef423148221ac7"),
+    ("LGPL-2.1", "526e02df5d182e7fdf201c4d829ce0b637a077b21211b90b487d42c3869a4793"),  # up to the end of the terms
+    ("LGPL-3.0", "bb83ad61b05471df1642a68481d1fe137d448a7271fd3a89a2ce20aaf466f6fb"),
+    ("MPL-1.1", "7512adcce5fd8054c7c0b13f4805ff92e2dc1c1845130312cf61d005e284bb57"),
+    ("MPL-2.0", "b812fe1c9c2227ff7fa9e9d6deb3bc037aeead7ec139669b795e159bfb21adc9"),
+    ("CC0-1.0", "51c4bf27767d074bdefc84db7420b4c55e27827dac6d8de3ef0d37b2042fb6fa"),
+)
+
 _WORD = r"(^| )({})( |$)"
 
 
@@ -115,9 +156,12 @@ def _spelling_map() -> Column:
 
 
 def known_digests(spark: SparkSession, known=KNOWN) -> DataFrame:
-    """(digest, license) of known licences: pairs of licence and text, or a DataFrame with columns license and text. Of licences with one digest, the first by name stays."""
+    """(digest, license) of known licences: pairs of licence and text, or a DataFrame with columns license and text; with KNOWN itself, LONG's too. Of licences with one digest, the first by name stays."""
     table = known if isinstance(known, DataFrame) else spark.createDataFrame(list(known), "license string, text string")
-    return table.select(F.sha2(canonical(F.col("text")), 256).alias("digest"), "license").groupBy("digest").agg(F.min("license").alias("license"))
+    digests = table.select(F.sha2(canonical(F.col("text")), 256).alias("digest"), "license")
+    if known is KNOWN:
+        digests = digests.union(spark.createDataFrame([(d, k) for k, d in LONG], "digest string, license string"))
+    return digests.groupBy("digest").agg(F.min("license").alias("license"))
 
 
 #: A line can only be a notice if it has one of these words; every notice of one line must.
@@ -165,7 +209,7 @@ def scan(docs: DataFrame, known=KNOWN, id: str = "doc_id", text: str = "text", m
 
 
 def oracle_sql(known=KNOWN) -> str:
-    """DuckDB SQL for scan() over documents."""
+    """DuckDB SQL for scan() over documents. It has no digests of LONG, so it gives a document that is such a licence none."""
     quote = lambda x: "'" + x.replace("'", "''") + "'"
 
     def clean(x: str) -> str:

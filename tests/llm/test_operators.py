@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import os
 import random
 import re
 import struct
@@ -12,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from conftest import DATA, against_oracle, same
+from pyspark.sql import functions as F
 
 from brindle.llm import bpe, crf, decontaminate, divergence, huffman, license_scan, ngram_trie, queries, sharding, superminhash, url_rules
 from brindle.llm.common import Scratch, words_of
@@ -62,6 +64,34 @@ def test_notices_by_hand(spark):
     assert {r["doc_id"]: (r["n_notices"], r["notices"]) for r in license_scan.scan(docs).collect()} == {i: (1, k) for i, (_, k) in enumerate(lines)}
 
 
+def test_wrapped_licenses(spark):
+    import textwrap
+
+    whole = [(k, x) for k, x in license_scan.KNOWN if "\n" in x and "http://www" not in x]
+    docs, wanted = [], {}
+    for k, x in whole:
+        for width in (20, 33, 40, 52, 60, 65, 70, 72, 76, 79, 80, 100):
+            lines = [line for p in x.split("\n\n") for line in [*textwrap.wrap(p, width, break_long_words=False, break_on_hyphens=False), ""]]
+            wanted[len(docs)] = k
+            docs.append((len(docs), "\n".join(["Copyright (c) 2001, 2020 Holder Notices Inc.", "Copyright Someone Else", *lines])))
+    got = {r["doc_id"]: r["license"] for r in license_scan.scan(table(spark, docs)).collect()}
+    assert got == wanted
+    gone = ["Copyright 2020 X", "copyright (C) Someone", "Copyright Someone", "Copyright by X", "(c) 2020 X", "(C) Someone", "\u00a9 X", " * Copyright: 2020", "Copyright Noticed Ltd", "Copyright \u00c9lodie", "Copyright Ho"]
+    stays = ["copyright notice and", "COPYRIGHT HOLDERS BE", "copyright holder", "copyright law.", "copyright", "copyright, patent", "copyrighted works", "(c) You must retain"]
+    out = spark.createDataFrame([(i, f"a\n{x}\nb") for i, x in enumerate(gone + stays)], "i int, x string").select("i", license_scan.canonical(F.col("x")).alias("c"))
+    assert [i for i, c in sorted(rows_of(out, "i", "c")) if c == "a b"] == list(range(len(gone)))
+
+
+def test_long_licenses(spark):
+    folder = "/usr/share/common-licenses"
+    files = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-2.0": "MPL-2.0"}
+    if not all(os.path.exists(f"{folder}/{f}") for f in files):
+        pytest.skip(f"no licence texts in {folder}")
+    texts = [open(f"{folder}/{f}", encoding="utf-8").read() for f in files]
+    got = dict(rows_of(license_scan.scan(table(spark, list(enumerate(texts)))), "doc_id", "license"))
+    assert [got[i] for i in range(len(texts))] == list(files.values())
+
+
 # ---------------------------------------------------------------- 2
 
 
