@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch
+from .divergence import COMMON
 
 NAME, NUMBER, UNIT = "\u0001", "\u0002", "\u0003"
 UNITS = (
@@ -20,14 +21,24 @@ STEPS = (
     (rf"(?<={NUMBER}[\s%]{{0,1}})(?:{UNITS})(?![\p{{L}}\p{{N}}])", UNIT),
     (rf"[^\p{{L}}\p{{N}}\s{NAME}{NUMBER}{UNIT}]+", ""),
 )
+#: Words that aren't names where they begin a sentence.
+FUNCTION_WORDS = sorted({
+    *(w for x in COMMON.values() for w in x if w.isalpha()),
+    *"how why where whose each every after before then suppose given find calculate compute solve write let during while because since some many most both another these those there here now today yesterday does did do is are was were can could should may might must if given between over under until".split(),
+    *"wie wo warum wer wen wem welche welcher welches jeder jede wenn dann danach nachdem bevor jetzt heute gestern combien comment pourquoi quand quel quelle quels quelles chaque si après avant alors cuánto cuánta cuántos cuántas cómo dónde cuándo quién qué cuál cada después antes entonces".split(),
+})
+#: Any capitalised word but those; with it, names that begin a sentence, a line or the text are names too.
+INITIAL = rf"(?<![\p{{L}}\p{{N}}])(?!(?:{'|'.join(w.capitalize() for w in FUNCTION_WORDS)})(?!\p{{L}}))\p{{Lu}}\p{{Ll}}+"
+#: Forms of a text that are matched each with the same: templates, templates with INITIAL, and exact words for items that the first can't identify.
+TEMPLATE, OPEN, EXACT = 0, 1, 2
 #: Words of a window; how many of them must not be placeholders; the share of an item's windows that makes a leak.
 WINDOW, LITERALS, SHARE = 8, 5, 0.5
 
 
-def template(text: Column) -> Column:
-    """The template words of a text (null: none). Each word with a letter or digit gives one, so words() has its value at the same place."""
+def template(text: Column, initials: bool = False) -> Column:
+    """The template words of a text (null: none); initials: with names that begin sentences, as in INITIAL. Each word with a letter or digit gives one, so words() has its value at the same place."""
     x = F.coalesce(text, F.lit(""))
-    for pattern, by in STEPS:
+    for pattern, by in ((INITIAL, NAME), *STEPS[1:]) if initials else STEPS:
         x = F.lower(x) if pattern is None else F.regexp_replace(x, pattern, by)
     return F.filter(F.split(x, r"\s+"), lambda w: w != "")
 
@@ -38,6 +49,15 @@ def words(text: Column) -> Column:
     return F.filter(F.split(plain, r"\s+"), lambda w: w != "")
 
 
+def exact(text: Column) -> Column:
+    """The lower-cased words of a text (null: none), without the punctuation around them; signs such as + stay."""
+    plain = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"(?<!\S)[(\[\"'\u201c\u2018\u00bf\u00a1]+|[.,;:!?)\]\"'\u201d\u2019]+(?!\S)", "")
+    return F.filter(F.split(plain, r"\s+"), lambda w: w != "")
+
+
+FORMS = {TEMPLATE: template, OPEN: lambda x: template(x, True), EXACT: exact}
+
+
 def _windows(own: Column, size: int) -> Column:
     """Hashes of the windows of so many template words, in order; none if there are fewer words. The words' hashes are bound as a lambda's variable, so that they are made once, not for each window."""
 
@@ -49,44 +69,53 @@ def _windows(own: Column, size: int) -> Column:
 
 
 def item_windows(benchmark: DataFrame, id: str, text: str, window: int, literals: int) -> DataFrame:
-    """(item, size, at, key, total, slots) of each window that may be matched; slots: (place, value) of its placeholders. An item shorter than a window is one window; fewer than `literals` words can't be identified, and so are windows with fewer words that aren't placeholders."""
-    own = benchmark.select(F.col(id).alias("item"), template(F.col(text)).alias("t"), words(F.col(text)).alias("w")).where(F.size("t") >= literals)
-    own = own.withColumn("size", F.least(F.size("t"), F.lit(window)))
-    starts = own.select("item", "size", "t", "w", F.explode(F.sequence(F.lit(1), F.size("t") - F.col("size") + 1)).alias("at"))
-    part = starts.withColumn("part", F.slice("t", F.col("at"), F.col("size")))
+    """(item, size, at, key, total, slots) of each window that may be matched; item: (id, form); slots: (place, value) of its placeholders. An item shorter than a window is one window. Windows of templates with fewer than `literals` words that aren't placeholders can't be identified. An item without any other window has the windows of its exact words instead."""
+    held = benchmark.where(F.col(id).isNotNull()).select(F.col(id).alias("id"), F.col(text).alias("text"))
     open_ = lambda x: x.rlike(f"[{NAME}{NUMBER}{UNIT}]")
-    places = F.filter(F.sequence(F.lit(0), F.col("size") - 1), lambda k: open_(F.element_at("part", k + 1)))
-    slots = F.transform(places, lambda k: F.struct(k.alias("place"), F.try_element_at("w", F.col("at") + k).alias("value")))
-    found = part.where(F.size(F.filter("part", lambda x: ~open_(x))) >= F.least(F.lit(literals), F.col("size")))
-    found = found.select("item", "size", "at", F.xxhash64(F.transform("part", lambda x: F.xxhash64(x))).alias("key"), slots.alias("slots"))
+
+    def windows(rows: DataFrame, form: int) -> DataFrame:
+        own = rows.select(F.struct("id", F.lit(form).alias("form")).alias("item"), FORMS[form](F.col("text")).alias("t"), words(F.col("text")).alias("w")).where(F.size("t") >= (1 if form == EXACT else literals))
+        own = own.withColumn("size", F.least(F.size("t"), F.lit(window)))
+        starts = own.select("item", "size", "t", "w", F.explode(F.sequence(F.lit(1), F.size("t") - F.col("size") + 1)).alias("at"))
+        part = starts.withColumn("part", F.slice("t", F.col("at"), F.col("size")))
+        places = F.filter(F.sequence(F.lit(0), F.col("size") - 1), lambda k: F.lit(form != EXACT) & open_(F.element_at("part", k + 1)))
+        slots = F.transform(places, lambda k: F.struct(k.alias("place"), F.try_element_at("w", F.col("at") + k).alias("value")))
+        if form != EXACT:
+            part = part.where(F.size(F.filter("part", lambda x: ~open_(x))) >= F.least(F.lit(literals), F.col("size")))
+        return part.select("item", "size", "at", F.xxhash64(F.transform("part", lambda x: F.xxhash64(x))).alias("key"), slots.alias("slots"))
+
+    first = windows(held, TEMPLATE)
+    rest = held.join(first.select(F.col("item.id").alias("known")).distinct(), F.col("id") == F.col("known"), "left_anti")
+    found = first.union(windows(held, OPEN))
     total = found.groupBy("item").agg(F.countDistinct("key").alias("total"))
     return found.join(total, "item")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, literals: int = LITERALS, share: float = SHARE, most_broadcast: int = 200_000) -> DataFrame:
-    """(doc, text_hash, item, matched, total, changed): the items that a text holds, with how many of the item's windows it has, and whether slots changed.
+    """(doc, text_hash, item, matched, total, changed): the items that a text holds, with how many of the item's windows it has (in the form that has most), and whether slots changed.
 
     Windows whose slots give one value of the item two values in the text, at one alignment, don't count.
     The items' windows are broadcast up to most_broadcast rows (about 100 bytes each) and shuffled beyond that.
     """
     scratch = Scratch(docs.sparkSession, "leaks")
     items = scratch.table(item_windows(benchmark, item_id, item_text, window, literals), "items")
-    sizes = sorted(r["size"] for r in items.select("size").distinct().collect())
+    sizes = sorted((r["form"], r["size"]) for r in items.select("item.form", "size").distinct().collect())
+    enough = F.col("matched") >= F.when(F.col("item.form") == EXACT, F.col("total")).otherwise(share * F.col("total"))
     held = docs.select(F.col(id).alias("doc"), F.col(text).cast("string").alias("text"))
     if not sizes:
         return held.limit(0).select("doc", F.xxhash64("text").alias("text_hash"), F.lit(None).cast("bigint").alias("item"), F.lit(0).cast("bigint").alias("matched"), F.lit(0).cast("bigint").alias("total"), F.lit(False).alias("changed"))
     keys = items.select("item", "size", F.col("at").alias("item_at"), "key")
     if len(keys.take(most_broadcast + 1)) <= most_broadcast:
         keys = F.broadcast(keys)
-    base = held.select("doc", F.xxhash64("text").alias("text_hash"), template(F.col("text")).alias("t"))
     found = None
-    for size in sizes:
+    for form, size in sizes:
+        base = held.select("doc", F.xxhash64("text").alias("text_hash"), FORMS[form](F.col("text")).alias("t"))
         each = base.select("doc", "text_hash", F.posexplode(_windows(F.col("t"), size)).alias("at", "key"))
-        matched = each.join(keys.where(F.col("size") == size), "key").select("doc", "text_hash", (F.col("at") + 1).alias("at"), "item", "item_at", "key")
+        matched = each.join(keys.where((F.col("size") == size) & (F.col("item.form") == form)), "key").select("doc", "text_hash", (F.col("at") + 1).alias("at"), "item", "item_at", "key")
         found = matched if found is None else found.union(matched)
     found = scratch.table(found.distinct(), "found")
     totals = items.groupBy("item").agg(F.first("total").alias("total"))
-    near = found.groupBy("doc", "text_hash", "item").agg(F.countDistinct("key").alias("matched")).join(totals, "item").where(F.col("matched") >= share * F.col("total")).select("doc", "text_hash", "item")
+    near = found.groupBy("doc", "text_hash", "item").agg(F.countDistinct("key").alias("matched")).join(totals, "item").where(enough).select("doc", "text_hash", "item")
     same = lambda a, b: a["doc"].eqNullSafe(b["doc"]) & (a["text_hash"] == b["text_hash"])
     near = scratch.table(near, "near")
     windows = found.join(near.withColumnsRenamed({"doc": "d", "text_hash": "h", "item": "i"}), F.col("doc").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h")) & (F.col("item") == F.col("i")), "left_semi")
@@ -102,13 +131,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str =
     on = F.col("doc").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h")) & (F.col("item") == F.col("i")) & (F.col("at") - F.col("item_at") == F.col("s"))
     good = windows.join(checked, on, "left").where(~F.coalesce("split", F.lit(False)))
     out = good.groupBy("doc", "text_hash", "item").agg(F.countDistinct("key").alias("matched"), F.max(F.coalesce("changed", F.lit(False))).alias("changed")).join(totals, "item")
-    return out.where(F.col("matched") >= share * F.col("total")).select("doc", "text_hash", "item", "matched", "total", "changed")
+    best = out.where(enough).groupBy("doc", "text_hash", F.col("item.id").alias("item")).agg(F.max(F.struct("matched", "total")).alias("most"), F.max("changed").alias("changed"))
+    return best.select("doc", "text_hash", "item", "most.matched", "most.total", "changed")
 
 
 def report(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str = "text", **more) -> DataFrame:
     """One row for each row of docs: doc_id, contaminated, item_ids (sorted, each once), reparameterised (an item whose slots changed is among them).
 
-    A null or empty text, and items with few words, match nothing. Repeated rows give repeated
+    A null or empty text matches nothing; an item with too few literal words only its exact words. Repeated rows give repeated
     rows; an empty table gives an empty one, an empty benchmark no contaminated row.
     """
     found = leaks(docs, benchmark, id, text, **more).groupBy("doc", "text_hash").agg(F.array_sort(F.collect_set("item")).alias("item_ids"), F.max("changed").alias("changed"))

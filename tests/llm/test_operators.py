@@ -173,6 +173,15 @@ def test_templates(spark):
     assert decontaminate.drop_leaks(docs, bench).columns == docs.columns
 
 
+def test_names_that_begin_sentences(spark):
+    base = "{0} has 3 cats. {0} buys 5 dogs. {0} sells 2 birds. How many pets does {0} have now?"
+    bench = spark.createDataFrame([(1, base.format("Tom")), (2, "Lena walked to the old red mill.\nLena carried four heavy bags of flour.")], "item_id bigint, text string")
+    second = "{0} walked to the old red mill.\n{0} carried four heavy bags of flour."
+    docs = table(spark, [(1, base.format("Ann")), (2, "Well. " + base.format("Tom")), (3, base.format("Ann").replace("Ann sells", "Bob sells")), (4, second.format("Karla")), (5, second.format("Lena")), (6, "He said: " + base.format("Ann").replace("3", "7"))])
+    got = {r["doc_id"]: (r["item_ids"], r["reparameterised"]) for r in decontaminate.report(docs, bench).collect()}
+    assert got == {1: ([1], True), 2: ([1], False), 3: ([], False), 4: ([2], True), 5: ([2], False), 6: ([1], True)}
+
+
 def test_leaks_against_brute_force(spark):
     import duckdb
 
