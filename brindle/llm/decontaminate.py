@@ -86,7 +86,7 @@ def item_windows(benchmark: DataFrame, id: str, text: str, window: int, literals
 
     first = windows(held, TEMPLATE)
     rest = held.join(first.select(F.col("item.id").alias("known")).distinct(), F.col("id") == F.col("known"), "left_anti")
-    found = first.union(windows(held, OPEN))
+    found = first.union(windows(held, OPEN)).union(windows(rest, EXACT))
     total = found.groupBy("item").agg(F.countDistinct("key").alias("total"))
     return found.join(total, "item")
 

@@ -173,6 +173,15 @@ def test_templates(spark):
     assert decontaminate.drop_leaks(docs, bench).columns == docs.columns
 
 
+def test_items_with_few_literals(spark):
+    items = ["What is 12 times 34?", "Is 1 + 2 = 3?", "Solve 7.", "12 13 14 15 16 17 18 19 20 21 22", "Wer kennt Karl Otto Meier Schmidt?"]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+    docs = table(spark, [(i, f"Some words before. {x.upper()} And after.") for i, x in enumerate(items)] + [(10, "What is 12 times 35?"), (11, "Is 1 - 2 = 3?"), (12, "12 13 14 15 16 17 18 19 20 21 23"), (13, "Solve 71."), (14, None), (15, "")])
+    got = {r["doc_id"]: (r["item_ids"], r["reparameterised"]) for r in decontaminate.report(docs, bench).collect()}
+    assert got == {i: ([i] if i < 5 else [], False) for i in [*range(5), *range(10, 16)]}
+    assert sorted(r["doc_id"] for r in decontaminate.drop_leaks(docs, bench).collect()) == list(range(10, 16))
+
+
 def test_names_that_begin_sentences(spark):
     base = "{0} has 3 cats. {0} buys 5 dogs. {0} sells 2 birds. How many pets does {0} have now?"
     bench = spark.createDataFrame([(1, base.format("Tom")), (2, "Lena walked to the old red mill.\nLena carried four heavy bags of flour.")], "item_id bigint, text string")
