@@ -14,7 +14,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, letters_and_marks, pieces, publish
+from .common import Scratch, letters_and_marks, pieces, publish, releasing
 
 # ---------------------------------------------------------------- the transducer
 
@@ -165,9 +165,7 @@ class Vocabulary:
         self.first_rank[left[::-1][(left < small)[::-1] & (right < small)[::-1]], right[::-1][(left < small)[::-1] & (right < small)[::-1]]] = np.arange(len(merges))[::-1][(left < small)[::-1] & (right < small)[::-1]]
         self.made_by_rank = made
         self.pairs = {(a, b): (rank, c) for rank, (a, b, c) in reversed(list(enumerate(merges)))}
-        #: Words merged last, and the marks that may follow plain ones.
-        self.merged: dict[bytes | str, bytes] = {}
-        self.most_merged = 400_000
+        #: Marks that may follow plain words.
         self.marks = {c: np.uint32(self.final[ord(c)]).tobytes() for c in ".,;:!?"}
         # a table of bytes of tokens, each followed by a space, for decode()
         self.lengths = np.array([len(x) + 1 for x in self.names], np.int64)
@@ -291,9 +289,6 @@ class Vocabulary:
     def encode_chunks(self, chunks: list[str]) -> list[bytes]:
         """The ids (unsigned 32-bit) of each chunk without spaces."""
         out: list[bytes | None] = [None] * len(chunks)
-        merged = self.merged
-        if len(merged) > self.most_merged:
-            merged.clear()
         simple, rest = [], []
         for i, chunk in enumerate(chunks):
             if found := letters_and_marks(chunk):
@@ -302,9 +297,9 @@ class Vocabulary:
                 rest.append(i)
         parts = self.parts_of_many([chunks[i] for i in rest])
         # plain words are kept as text, others as bytes
-        words: list[str | bytes] = list({w for _, w, _ in simple} - merged.keys())
-        words += {w for p in parts for w in p if isinstance(w, bytes)} - merged.keys()
-        merged.update(zip(words, self.merge_many([w.encode() if isinstance(w, str) else w for w in words])))
+        words: list[str | bytes] = list({w for _, w, _ in simple})
+        words += {w for p in parts for w in p if isinstance(w, bytes)}
+        merged = dict(zip(words, self.merge_many([w.encode() if isinstance(w, str) else w for w in words])))
         for i, word, mark in simple:
             if not mark:
                 out[i] = merged[word]
@@ -312,7 +307,7 @@ class Vocabulary:
             tail = self.marks.get(mark)
             if tail is None:
                 tail = self.merge_many([mark.encode()])[0]
-                if len(self.marks) < 10_000:
+                if len(self.marks) < 2_000 and len(mark) < 16:
                     self.marks[mark] = tail
             out[i] = merged[word] + tail
         for i, p in zip(rest, parts):
@@ -348,18 +343,22 @@ def _windows(text: str, most: int = 1 << 20):
 
 
 class Encoder:
-    """Encodes texts by a vocabulary and a transducer; keeps the ids of the words seen last, most_words of them at most."""
+    """Encodes texts by a vocabulary and a transducer; keeps the ids of the words seen last, in about most_bytes and what one call of learn() adds."""
 
-    def __init__(self, path: str, folder: str | None, most_words: int = 600_000):
+    #: Bytes of an entry of known besides the word and its ids.
+    ENTRY = 200
+
+    def __init__(self, path: str, folder: str | None, most_bytes: int = 32 << 20):
         self.vocabulary = Vocabulary(path)
         self.lexicon = Transducer(folder) if folder else None
-        self.most, self.known = most_words, {}
+        self.most_bytes, self.held, self.known = most_bytes, 0, {}
 
     def learn(self, words: set[str]) -> None:
         """After this, all of the words are known."""
-        if len(self.known) > self.most:
+        if self.held > self.most_bytes:
             self.known.clear()
-        missing = [w for w in words if w not in self.known]
+            self.held = 0
+        missing = new = [w for w in words if w not in self.known]
         if self.lexicon and missing:
             ranks = self.lexicon.lookup([w.encode("utf-8", "surrogatepass") for w in missing])
             for w, r in zip(missing, ranks.tolist()):
@@ -368,6 +367,7 @@ class Encoder:
             missing = [w for w, r in zip(missing, ranks.tolist()) if r < 0]
         for w, ids in zip(missing, self.vocabulary.encode_chunks(missing)):
             self.known[w] = ids
+        self.held += sum(self.ENTRY + len(w) + len(self.known[w]) for w in new)
 
     def encode(self, text: str | None) -> np.ndarray:
         """The text's ids, as unsigned 32-bit integers."""
@@ -382,16 +382,6 @@ class Encoder:
         return np.frombuffer(b"".join(out), np.uint32)
 
 
-_encoders: dict[tuple, Encoder] = {}
-
-
-def _encoder(path: str, folder: str | None) -> Encoder:
-    if (path, folder) not in _encoders:
-        _encoders.clear()
-        _encoders[path, folder] = Encoder(path, folder)
-    return _encoders[path, folder]
-
-
 def build_lexicon(docs: DataFrame, path: str, folder: str, text: str = "text", words: int = 100_000, least: int = 8) -> int:
     """Compile the words that occur most: of those that occur `least` times or more in some partition of docs, the `words` with the greatest sums. Results don't depend on which they are. Returns how many."""
 
@@ -407,12 +397,12 @@ def build_lexicon(docs: DataFrame, path: str, folder: str, text: str = "text", w
                 for t in piece.column("text").to_pylist():
                     for window in _windows(t or ""):
                         seen.update(split(window))
-                if len(seen) > 400_000:
+                if len(seen) > 200_000:
                     yield out()
                     seen.clear()
         yield out()
 
-    found = docs.select(F.col(text).alias("text")).mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(words)
+    found = docs.select(F.col(text).alias("text")).mapInArrow(releasing(count), "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(words)
     chosen = [r["word"] for r in found.select("word").collect()]
     entries = Vocabulary(path).encode_chunks(chosen)
     compile_transducer({w.encode(): ids for w, ids in zip(chosen, entries)}, folder)
@@ -443,25 +433,29 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str | None = "id
     name = text if at is not None else "__text"
 
     def run(batches):
-        encoder = _encoder(path, folder)
+        # ends with the task: a worker is used again by other tasks, which need the memory
+        encoder = Encoder(path, folder)
         for batch in batches:
-            for piece in pieces(batch, name, 2 << 20):
-                texts = piece.column(name).to_pylist()
-                words: set[str] = set()
-                for t in texts:
-                    if t and len(t) <= 1 << 20:
-                        words.update(split(t))
-                encoder.learn(words)
-                own = [encoder.encode(t) for t in texts]
-                columns = [piece.column(c) for c in kept]
-                if ids:
-                    flat = np.concatenate([*own, np.zeros(0, np.uint32)]).astype(np.int32)
-                    columns.append(pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(x) for x in own]))), pa.int32()), pa.array(flat)))
-                if digests:
-                    columns.append(pa.array([len(x) for x in own], pa.int64()))
-                    columns.append(pa.array([hashlib.sha256(x.astype("<u4").tobytes()).hexdigest() for x in own], pa.string()))
-                    columns.append(pa.array([hashlib.sha256(encoder.vocabulary.decode(x)).hexdigest() for x in own], pa.string()))
-                yield pa.RecordBatch.from_arrays(columns, names=[*kept, *(x.split()[0] for x in added)])
+            for piece in pieces(batch, name, 1 << 20):
+                yield one(encoder, piece)
+
+    def one(encoder: Encoder, piece: pa.RecordBatch) -> pa.RecordBatch:
+        texts = piece.column(name).to_pylist()
+        words: set[str] = set()
+        for t in texts:
+            if t and len(t) <= 1 << 20:
+                words.update(split(t))
+        encoder.learn(words)
+        own = [encoder.encode(t) for t in texts]
+        columns = [piece.column(c) for c in kept]
+        if ids:
+            flat = np.concatenate([*own, np.zeros(0, np.uint32)]).astype(np.int32)
+            columns.append(pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(x) for x in own]))), pa.int32()), pa.array(flat)))
+        if digests:
+            columns.append(pa.array([len(x) for x in own], pa.int64()))
+            columns.append(pa.array([hashlib.sha256(x.astype("<u4").tobytes()).hexdigest() for x in own], pa.string()))
+            columns.append(pa.array([hashlib.sha256(encoder.vocabulary.decode(x)).hexdigest() for x in own], pa.string()))
+        return pa.RecordBatch.from_arrays(columns, names=[*kept, *(x.split()[0] for x in added)])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema if f.name in kept)
-    return source.mapInArrow(run, ", ".join([fields, *added]))
+    return source.mapInArrow(releasing(run), ", ".join([fields, *added]))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import re
 import shutil
@@ -15,6 +17,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 U64 = np.uint64
+try:
+    _trim = ctypes.CDLL(None).malloc_trim
+except (AttributeError, OSError):
+    # another C library
+    _trim = None
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -74,6 +81,26 @@ def publish(path: str, write) -> str:
     return path
 
 
+def release() -> None:
+    """Give memory that isn't used any more back to the system: a Python worker stays after its task, beside those of the next one."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
+def releasing(run):
+    """A function for mapInArrow that ends with release(), also if its task fails or is stopped."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return wrapped
+
+
 def remove_tree(path: str) -> None:
     shutil.rmtree(path, ignore_errors=True)
 

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, span_hash, words_of
+from .common import pieces, releasing, span_hash, words_of
 
 KINDS = ("email", "ip", "card", "phone", "secret")
 BASE = KINDS[:4]
@@ -415,7 +415,7 @@ def detect(docs: DataFrame, model: Model | None = None, id: str = "doc_id", text
                 digests = [hashlib.sha256(_joined(base).encode()).hexdigest() for base, _ in found]
                 yield pa.RecordBatch.from_arrays([piece.column("doc_id"), *(pa.array(c, pa.int64()) for c in counts), pa.array(digests, pa.string()), pa.array([_joined(s) for _, s in found], pa.string())], names=["doc_id", *(x.split()[0] for x in FOUND.split(", "))])
 
-    return docs.select(F.col(id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, f"doc_id bigint, {FOUND}")
+    return docs.select(F.col(id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(releasing(run), f"doc_id bigint, {FOUND}")
 
 
 def mask(docs: DataFrame, model: Model | None = None, text: str = "text", length: str | None = "n_chars") -> DataFrame:
@@ -446,4 +446,4 @@ def mask(docs: DataFrame, model: Model | None = None, text: str = "text", length
                     columns[length] = pa.array([c if new is None or new == t else len(new) for c, t, new in zip(old.to_pylist(), texts, out)], old.type)
                 yield pa.RecordBatch.from_arrays(list(columns.values()), names=names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(releasing(run), docs.schema)

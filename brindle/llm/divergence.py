@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, pieces, span_hash, text_buffer, words_of, shingles, mix
+from .common import U64, pieces, releasing, span_hash, text_buffer, words_of, shingles, mix
 
 #: Function words of the languages that have a reference. A language that isn't here has none, and its documents pass the method's test.
 COMMON = {
@@ -26,6 +26,8 @@ for _c in range(33, 127):
         _CLASS[_c] = 4 if chr(_c) in ".,;:!?'\"()-" else 5
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
+#: Bytes of text that are taken at once.
+PIECE = 1 << 20
 #: Bytes that begin a code point.
 _BEGIN = (np.arange(256) & 0xC0) != 0x80
 
@@ -51,7 +53,7 @@ def histograms(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     data, rows = text_buffer(column)
     begin = _BEGIN[data]
     classes = _CLASS[data[begin]]
-    by_class = _counts(classes, np.concatenate(([0], np.cumsum(begin)))[rows], N_CLASS)
+    by_class = _counts(classes, np.concatenate(([0], np.cumsum(begin, dtype=np.int32)))[rows], N_CLASS)
     words = words_of(column, True)
     at = np.minimum(np.searchsorted(_TABLE, words.hashes), len(_TABLE) - 1)
     at[_TABLE[at] != words.hashes] = len(_TABLE)
@@ -73,11 +75,12 @@ def base_counts(column: pa.Array, window: int = 8) -> dict[str, np.ndarray]:
     """n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words of each text (null: empty)."""
     w = words_of(column, False)
     n = len(w.rows) - 1
-    inside = np.zeros(len(w.data) + 1, np.int64)
+    # numbers of a piece fit 32 bits: Arrow's texts of a batch are below 2 GB
+    inside = np.zeros(len(w.data) + 1, np.int32)
     # code points in words: bytes that begin one, but white space
     solid = _BEGIN[w.data] & (_CLASS[w.data] != 3)
     np.cumsum(solid, out=inside[1:])
-    symbols = np.concatenate(([0], np.cumsum(_SYMBOL[w.data])))
+    symbols = np.concatenate(([0], np.cumsum(_SYMBOL[w.data], dtype=np.int32)))
     # lines
     is_break = w.data == 10
     first = np.unique(np.concatenate((w.rows[:-1], np.flatnonzero(is_break) + 1)))
@@ -143,7 +146,7 @@ def references(docs: DataFrame, text: str = "text", lang: str = "lang") -> dict[
     def part(batches):
         total = {}
         for batch in batches:
-            for piece in pieces(batch, "text"):
+            for piece in pieces(batch, "text", PIECE):
                 by_class, by_word = histograms(piece.column("text"))
                 langs = np.array(piece.column("lang").to_pylist(), object)
                 # each document counts as one, whatever its length: a few long junk texts don't make the reference
@@ -153,7 +156,7 @@ def references(docs: DataFrame, text: str = "text", lang: str = "lang") -> dict[
         if total:
             yield pa.RecordBatch.from_pydict({"lang": list(total), "cells": [x.tolist() for x in total.values()]}, schema=pa.schema([("lang", pa.string()), ("cells", pa.list_(pa.float64()))]))
 
-    parts = docs.select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang")).where(F.col("lang").isin(_LANGS)).mapInArrow(part, "lang string, cells array<double>")
+    parts = docs.select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang")).where(F.col("lang").isin(_LANGS)).mapInArrow(releasing(part), "lang string, cells array<double>")
     sums = parts.select("lang", F.posexplode("cells").alias("cell", "x")).groupBy("lang", "cell").agg(F.sum("x").alias("x")).collect()
     out = {k: np.zeros(N_CLASS + N_WORD) for k in _LANGS}
     for r in sums:
@@ -200,12 +203,12 @@ def measure(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str =
 
     def run(batches):
         for batch in batches:
-            for piece in pieces(batch, "text"):
+            for piece in pieces(batch, "text", PIECE):
                 base, distance, failed, kept = _judge(refs, min_chars, min_words, most_class, most_word, piece.column("text"), piece.column("lang").to_pylist())
                 floats = [pa.array(x, pa.float64(), from_pandas=True) for x in distance]
                 yield pa.RecordBatch.from_arrays([piece.column("id"), *(pa.array(base[k].astype(np.int64)) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), *floats, pa.array(failed), pa.array(kept)], names=[x.split()[0] for x in MEASURES.split(", ")])
 
-    return docs.select(F.col(id).cast("bigint").alias("id"), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang")).mapInArrow(run, MEASURES)
+    return docs.select(F.col(id).cast("bigint").alias("id"), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang")).mapInArrow(releasing(run), MEASURES)
 
 
 def keep_good(docs: DataFrame, text: str = "text", lang: str = "lang", min_chars: int = 200, min_words: int = 50, most_class: float = 0.3, most_word: float = 0.42) -> DataFrame:
@@ -214,8 +217,8 @@ def keep_good(docs: DataFrame, text: str = "text", lang: str = "lang", min_chars
 
     def run(batches):
         for batch in batches:
-            for piece in pieces(batch, text):
+            for piece in pieces(batch, text, PIECE):
                 kept = _judge(refs, min_chars, min_words, most_class, most_word, piece.column(text), piece.column(lang).cast(pa.string()).to_pylist())[3]
                 yield piece.filter(pa.array(kept))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(releasing(run), docs.schema)

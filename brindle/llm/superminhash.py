@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Scratch, mix, pieces, shingles, words_of
+from .common import U64, Scratch, mix, pieces, releasing, shingles, words_of
 
 #: Positions of a signature (255 fit a byte), and bands of ROWS positions. Two sets of similarity 0.8 share no band with probability below (1 - 0.8 ** 5) ** 51 = 2e-9.
 M, ROWS = 255, 5
@@ -163,7 +163,7 @@ def sketch(docs: DataFrame, folder: str, words: int, id: str, text: str) -> Data
                         names=["row", "id", "text_hash", "n", "low", "high", "bands", "part", "file"],
                     )
 
-    return docs.select(F.col(id).cast("bigint").alias("id"), F.xxhash64(text).alias("text_hash"), F.col(text).cast("string").alias("text")).mapInArrow(run, SKETCH)
+    return docs.select(F.col(id).cast("bigint").alias("id"), F.xxhash64(text).alias("text_hash"), F.col(text).cast("string").alias("text")).mapInArrow(releasing(run), SKETCH)
 
 
 # ---------------------------------------------------------------- union-find
@@ -212,7 +212,7 @@ def _contract(edges: DataFrame, most_nodes: int = 200_000) -> DataFrame:
                 forest = Forest()
         yield stars()
 
-    return edges.select("a", "b").mapInArrow(run, "a bigint, b bigint")
+    return edges.select("a", "b").mapInArrow(releasing(run), "a bigint, b bigint")
 
 
 def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
@@ -253,7 +253,7 @@ def _verified(pairs: DataFrame, files: dict[int, str], percent: int) -> DataFram
             keep = [sets.linked(x, y, percent) for x, y in zip(a, b)]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return pairs.mapInArrow(run, "a bigint, b bigint")
+    return pairs.mapInArrow(releasing(run), "a bigint, b bigint")
 
 
 def _cross(blocks: DataFrame, files: dict[int, str], percent: int, work: int = 64) -> DataFrame:
@@ -315,7 +315,7 @@ def _cross(blocks: DataFrame, files: dict[int, str], percent: int, work: int = 6
         if held:
             yield flush(pa.Table.from_batches(held))
 
-    return blocks.mapInArrow(run, "a bigint, b bigint")
+    return blocks.mapInArrow(releasing(run), "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id: str = "doc_id", text: str = "text", block: int = 256) -> DataFrame:

@@ -295,6 +295,17 @@ def test_encoding_is_the_librarys(word_bpe):
         assert e.vocabulary.decode(got).decode() == word_bpe.decode(want, skip_special_tokens=False)
 
 
+def test_encoders_hold_bounded_memory(word_bpe):
+    e = bpe.Encoder(queries.tokenizer("word_bpe_49k.json"), None, most_bytes=20_000)
+    for k in range(60):
+        text = prose(k, 150)
+        e.learn(set(bpe.split(text)))
+        assert e.encode(text).tolist() == word_bpe.encode(text, add_special_tokens=False).ids
+        assert e.held <= 20_000 + 151 * (e.ENTRY + 120) and e.held == sum(e.ENTRY + len(w) + len(i) for w, i in e.known.items())
+    # nothing that grows stays in the module, so a worker that is used again begins empty
+    assert not [k for k, v in vars(bpe).items() if isinstance(v, dict) and not k.startswith("__") and k != "BYTE_OF"]
+
+
 def test_encoding_of_tables(spark, edges, nothing, word_bpe):
     path = queries.tokenizer("word_bpe_49k.json")
     out = bpe.encode(edges, path, digests=True)
