@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import bisect
+import functools
 import hashlib
+import itertools
 import random
 import re
 from dataclasses import dataclass
@@ -14,11 +17,11 @@ from pyspark.sql import functions as F
 
 from .common import pieces, releasing, span_hash, words_of
 
-KINDS = ("email", "ip", "card", "phone", "secret")
+KINDS = ("email", "ip", "card", "phone", "secret", "iban", "ssn")
 BASE = KINDS[:4]
 LABELS = ("O", *KINDS)
-#: Labels whose neighbouring words make one span; of the others each word is a span.
-JOINED = ("phone",)
+#: Labels whose neighbouring words make one span, with the least and most digits (of an IBAN: letters and digits) of a span; of the others each word is a span.
+JOINED = {"card": (12, 19), "phone": (7, 15), "iban": (15, 34)}
 
 # ---------------------------------------------------------------- patterns
 
@@ -69,7 +72,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 # ---------------------------------------------------------------- word shapes
 
-TRIGGERS = "token key secret password passwd pwd apikey api_key auth bearer access phone tel telephone mobile cell fax call contact card visa credit account iban number no ip host server address addr email mail e-mail = : commit sha revision hash version build id order isbn".split()
+TRIGGERS = "token key secret password passwd pwd apikey api_key auth bearer access phone tel telephone mobile cell fax call contact card visa credit account iban number no ip host server address addr email mail e-mail = : commit sha revision hash version build id order isbn ssn social security iban konto teléfono téléphone telefon handy date on born total invoice".split()
 _TRIGGER = np.sort(words_of(pa.array(TRIGGERS), True).hashes)
 
 _KIND = np.full(256, 7, np.uint8)  # beyond ASCII
@@ -192,10 +195,13 @@ class Model:
         return out
 
 
-def train(rows: list[tuple[str, list[tuple[int, int, str]]]], rounds: int = 150, rate: float = 0.12, penalty: float = 2e-3) -> Model:
-    """Maximise the penalised likelihood of (text, spans) by forward-backward and Adam, all texts in one batch. The table may have 20,000 rows; its words must be few enough for the driver."""
-    if len(rows) > 20_000:
-        raise ValueError("at most 20,000 labelled rows")
+def _model(x: np.ndarray) -> Model:
+    n, total = len(LABELS), sum(SIZES)
+    return Model(x[: 3 * total * n].reshape(3, total, n), x[3 * total * n :].reshape(n, n))
+
+
+def likelihood(rows: list[tuple[str, list[tuple[int, int, str]]]]):
+    """A function from all weights to the log likelihood of the rows' labels and its gradient, by forward-backward, all texts in one batch."""
     w = words_of(pa.array([t for t, _ in rows], pa.string()), False)
     gold = np.zeros(len(w.starts), np.int64)
     for i, (text, spans) in enumerate(rows):
@@ -204,70 +210,96 @@ def train(rows: list[tuple[str, list[tuple[int, int, str]]]], rounds: int = 150,
             gold[(w.starts < b) & (w.ends > a)] = LABELS.index(kind)
     codes = shapes(w.data, w.starts, w.ends)
     n, n_labels, total = len(rows), len(LABELS), sum(SIZES)
-    lengths = np.diff(w.offsets)
-    row = np.repeat(np.arange(n), lengths)
+    own = np.diff(w.offsets)
+    row = np.repeat(np.arange(n), own)
     place = np.arange(len(codes)) - w.offsets[row]
-    longest = int(lengths.max())
-    inside = np.arange(longest)[None] < lengths[:, None]
+    # the longest texts first: at each place, those that have a word there are the first ones
+    order = np.argsort(-own, kind="stable")
+    line = np.argsort(order)[row]
+    lengths = own[order]
+    last_of = own[row] - 1
+    longest = int(lengths.max(initial=0))
+    live = [int(np.searchsorted(-lengths, -t, "left")) for t in range(longest + 1)]
     # words of one code share their features, so scores and gradients go through a small 0/1 matrix of codes by features
     values, inverse = np.unique(codes, return_inverse=True)
     has = np.zeros((len(values), total))
     np.put_along_axis(has, features_of(values), 1, 1)
     near = []
-    for at, shift in ((np.flatnonzero(place > 0), -1), (np.arange(len(codes)), 0), (np.flatnonzero(place < lengths[row] - 1), 1)):
+    for at, shift in ((np.flatnonzero(place > 0), -1), (np.arange(len(codes)), 0), (np.flatnonzero(place < last_of), 1)):
         own = inverse[at + shift]
         order = np.argsort(own, kind="stable")
         firsts = np.flatnonzero(np.diff(own[order], prepend=-1))
         near.append((at, own, at[order], firsts, own[order][firsts]))
-    x = np.zeros((3 * total + n_labels) * n_labels)
-    m, v = np.zeros_like(x), np.zeros_like(x)
-    for step in range(1, rounds + 1):
-        weights, moves = x[: 3 * total * n_labels].reshape(3, total, n_labels), x[3 * total * n_labels :].reshape(n_labels, n_labels)
+
+    def at(x: np.ndarray) -> tuple[float, np.ndarray]:
+        model = _model(x)
+        weights, moves = model.weights, model.moves
         score = np.zeros((len(codes), n_labels))
-        for k, (at, own, *_) in enumerate(near):
-            score[at] += (has @ weights[k])[own]
-        grid = np.zeros((n, longest, n_labels))
-        grid[row, place] = score
+        for k, (places, own, *_) in enumerate(near):
+            score[places] += (has @ weights[k])[own]
+        grid = np.zeros((longest, n, n_labels))
+        grid[place, line] = score
         forward, backward = np.zeros_like(grid), np.zeros_like(grid)
-        sums = lambda a, axis: np.log(np.exp(a - a.max(axis, keepdims=True)).sum(axis)) + a.max(axis)
-        forward[:, 0] = moves[0] + grid[:, 0]
-        for t in range(1, longest):
-            forward[:, t] = sums(forward[:, t - 1, :, None] + moves[None], 1) + grid[:, t]
+        sums = lambda a, axis: np.log(np.exp(a - (m := a.max(axis, keepdims=True))).sum(axis)) + m.squeeze(axis)
+        z = np.zeros(n)
+        for t in range(longest):
+            k = live[t]
+            forward[t, :k] = (sums(forward[t - 1, :k, :, None] + moves[None], 1) if t else moves[0]) + grid[t, :k]
         for t in range(longest - 1, -1, -1):
-            going = sums(moves[None] + (grid[:, t + 1] + backward[:, t + 1])[:, None, :], 2) if t + 1 < longest else None
-            is_last = (lengths == t + 1)[:, None]
-            backward[:, t] = moves[:, 0][None] if going is None else np.where(is_last, moves[:, 0][None], going)
-        last = forward[np.arange(n), np.maximum(lengths - 1, 0)] + moves[:, 0]
-        z = sums(last, 1)
-        belief = np.exp(forward + backward - z[:, None, None]) * inside[:, :, None]
-        wrong = belief[row, place]
+            k, more = live[t], live[t + 1]
+            z[more:k] = sums(forward[t, more:k] + moves[:, 0], 1)
+            backward[t, more:k] = moves[:, 0]
+            if more:
+                backward[t, :more] = sums(moves[None] + (grid[t + 1, :more] + backward[t + 1, :more])[:, None, :], 2)
+        wrong = np.exp(forward[place, line] + backward[place, line] - z[line][:, None])
+        ends, begins = place == last_of, place == 0
+        g_edge = wrong[begins].sum(0), wrong[ends].sum(0)
         wrong[np.arange(len(gold)), gold] -= 1
         g_weights, g_moves = np.zeros_like(weights), np.zeros_like(moves)
         for k, (_, _, order, firsts, which) in enumerate(near):
             if len(order):
                 g_weights[k] = has[which].T @ np.add.reduceat(wrong[order], firsts)
         for t in range(1, longest):
-            on = inside[:, t]
-            pair = np.exp(forward[on, t - 1, :, None] + moves[None] + (grid[on, t] + backward[on, t])[:, None, :] - z[on, None, None])
-            g_moves += pair.sum(0)
-        on = lengths > 0
-        g_moves[0] += belief[on, 0].sum(0)
-        g_moves[:, 0] += belief[on, lengths[on] - 1].sum(0)
-        firsts, lasts = gold[place == 0], gold[place == lengths[row] - 1]
+            k = live[t]
+            g_moves += np.exp(forward[t - 1, :k, :, None] + moves[None] + (grid[t, :k] + backward[t, :k])[:, None, :] - z[:k, None, None]).sum(0)
+        g_moves[0] += g_edge[0]
+        g_moves[:, 0] += g_edge[1]
+        firsts, lasts = gold[begins], gold[ends]
         np.subtract.at(g_moves, (0, firsts), 1)
         np.subtract.at(g_moves, (lasts, 0), 1)
         inner = np.flatnonzero(place > 0)
         np.subtract.at(g_moves, (gold[inner - 1], gold[inner]), 1)
-        g = np.concatenate((g_weights.ravel(), g_moves.ravel())) / n + penalty * x / 10
+        path = score[np.arange(len(gold)), gold].sum() + moves[gold[inner - 1], gold[inner]].sum() + moves[0, firsts].sum() + moves[lasts, 0].sum()
+        return float(path - z.sum()), -np.concatenate((g_weights.ravel(), g_moves.ravel()))
+
+    return at
+
+
+def train(rows: list[tuple[str, list[tuple[int, int, str]]]], rounds: int = 150, rate: float = 0.12, penalty: float = 2e-3) -> Model:
+    """Maximise the penalised likelihood of (text, spans) by Adam. The table may have 20,000 rows; its words must be few enough for the driver. Rows without words teach nothing."""
+    if len(rows) > 20_000:
+        raise ValueError("at most 20,000 labelled rows")
+    x = np.zeros((3 * sum(SIZES) + len(LABELS)) * len(LABELS))
+    if not any(t.split() for t, _ in rows):
+        return _model(x)
+    at, m, v = likelihood(rows), np.zeros_like(x), np.zeros_like(x)
+    for step in range(1, rounds + 1):
+        g = -at(x)[1] / len(rows) + penalty * x / 10
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         x = x - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    return Model(x[: 3 * total * n_labels].reshape(3, total, n_labels), x[3 * total * n_labels :].reshape(n_labels, n_labels))
+    return _model(x)
+
+
+@functools.cache
+def default_model() -> Model:
+    """Fitted on labelled_table(), once a process."""
+    return train(labelled_table())
 
 
 # ---------------------------------------------------------------- the labelled table
 
 
-def labelled_table(rows: int = 600, seed: int = 5) -> list[tuple[str, list[tuple[int, int, str]]]]:
+def labelled_table(rows: int = 700, seed: int = 5) -> list[tuple[str, list[tuple[int, int, str]]]]:
     """A small labelled table, made from templates with a fixed seed: (text, spans of code points)."""
     r = random.Random(seed)
     digits = lambda n: "".join(r.choice("0123456789") for _ in range(n))
@@ -290,15 +322,32 @@ def labelled_table(rows: int = 600, seed: int = 5) -> list[tuple[str, list[tuple
     def card() -> str:
         return r.choice([digits(16), digits(16), digits(15), f"{digits(4)}-{digits(4)}-{digits(4)}-{digits(4)}"])
 
+    def card_groups() -> str:
+        return " ".join(digits(4) for _ in range(4)) if r.random() < 0.8 else f"{digits(4)} {digits(6)} {digits(5)}"
+
+    def local_phone() -> str:
+        return r.choice([f"{digits(3)}-{digits(3)}-{digits(4)}", f"{digits(3)}.{digits(3)}.{digits(4)}", f"0{digits(2)} {digits(4)} {digits(4)}", f"0{digits(3)}/{digits(6)}", f"0{digits(1)} {digits(2)} {digits(2)} {digits(2)} {digits(2)}", f"({digits(3)}) {digits(3)}-{digits(4)}", digits(10)])
+
+    def iban() -> str:
+        land, rest = r.choice(["DE", "FR", "ES", "GB", "NL", "IT", "CH", "AT"]), digits(r.choice([18, 20, 22]))
+        bank = r.choice(["", "", "ABNA", "WEST", "BARC"])
+        flat = land + digits(2) + bank + rest
+        return flat if r.random() < 0.4 else " ".join(flat[k : k + 4] for k in range(0, len(flat), 4))
+
+    def ssn() -> str:
+        return f"{digits(3)}-{digits(2)}-{digits(4)}"
+
     def secret() -> str:
         return r.choice([hexes(40), hexes(32), hexes(40).upper(), hexes(64), base(40), base(32)])
 
     pairs = [
         ("token = \"{}\"", "secret", secret), ("token={}", "secret", secret), ("api_key: {}", "secret", secret), ("password = {}", "secret", secret), ("secret \"{}\"", "secret", secret), ("Bearer {}", "secret", secret), ("{}", "card", card), ("card number {}", "card", card), ("{}", "email", email), ("mail {}", "email", email), ("{}", "ip", ip), ("server {}", "ip", ip), ("{}", "phone", phone), ("call {}", "phone", phone), ("Tel: {}", "phone", phone),
+        ("card {}", "card", card_groups), ("visa: {}", "card", card_groups), ("tel {}", "phone", local_phone), ("Telefon: {}", "phone", local_phone), ("mobile {}", "phone", local_phone), ("phone number {}", "phone", local_phone), ("IBAN {}", "iban", iban), ("{}", "iban", iban), ("SSN {}", "ssn", ssn), ("social security number {}", "ssn", ssn), ("ssn: {}", "ssn", ssn),
     ]
     plain = [
         lambda: f"commit {hexes(40)}", lambda: f"sha {hexes(64)}", lambda: f"revision {hexes(32)}", lambda: f"in {r.randint(1700, 2030)}", lambda: f"{r.randint(1, 99)}.", lambda: f"{r.randint(1, 20)}.0.", lambda: f"version {r.randint(1, 9)}.{r.randint(0, 20)}.{r.randint(0, 20)}", lambda: f"{r.randint(1, 999)},{digits(3)}", lambda: f"{digits(2)}/{digits(2)}/{digits(4)}", lambda: f"{digits(4)}-{digits(2)}-{digits(2)}", lambda: f"${digits(3)}.{digits(2)}",
         lambda: f"order {digits(8)}", lambda: f"= {digits(2)}", lambda: "@" + word(), lambda: f"https://example.com/{word()}/{digits(3)}", lambda: f"{word()}{r.choice(['###', '***', '$$$', '%%%', '&&&'])}", lambda: word().upper() + "!!", lambda: f"| {word()} |", lambda: word().capitalize(), lambda: f"({word()})", lambda: f"key {word()}", lambda: f"the name {word()}", lambda: f"{digits(6)}", lambda: f"id {digits(9)}", lambda: r.choice(names), lambda: r.choice(surnames),
+        lambda: " ".join(digits(4) for _ in range(r.choice([1, 2, 3, 4, 5]))), lambda: f"in {digits(4)} and {digits(4)}", lambda: " ".join(digits(r.choice([1, 2, 3])) for _ in range(r.randint(2, 9))), lambda: f"on {digits(4)}-{digits(2)}-{digits(2)}", lambda: f"{digits(3)}-{digits(2)}", lambda: f"pages {digits(3)}-{digits(3)}", lambda: f"ISBN {digits(3)}-{digits(1)}-{digits(4)}-{digits(4)}-{digits(1)}", lambda: f"total {digits(3)}.{digits(2)}", lambda: f"call {word()}", lambda: f"phone {word()}", lambda: f"card {word()}", lambda: f"tel {word()}", lambda: word().upper(), lambda: r.choice(["DE", "FR", "GB", "ES"]),
     ]
     out = []
     for _ in range(rows):
@@ -315,7 +364,7 @@ def labelled_table(rows: int = 600, seed: int = 5) -> list[tuple[str, list[tuple
                     new = word()
                     text += (new.capitalize() if r.random() < 0.2 else new) + r.choice(["###", "***", "$$$", "%%%", "&&&", "!!"]) + " "
                 continue
-            if pick < 0.45:
+            if pick < 0.5:
                 frame, kind, make = r.choice(pairs)
                 value = make()
                 start = len(text) + frame.index("{}")
@@ -331,8 +380,9 @@ def labelled_table(rows: int = 600, seed: int = 5) -> list[tuple[str, list[tuple
 
 
 _digits = lambda w: sum(48 <= c <= 57 for c in w)
+_alnum = lambda w: sum(chr(c).isalnum() for c in w if c < 128)
 #: What a word must have whatever the model says.
-NEEDS = {"email": lambda w: b"@" in w, "ip": lambda w: w.count(b".") >= 3 and _digits(w) >= 4, "card": lambda w: _digits(w) >= 12, "phone": lambda w: _digits(w) >= 1, "secret": lambda w: len(w) >= 16 and _digits(w) >= 1}
+NEEDS = {"email": lambda w: b"@" in w, "ip": lambda w: w.count(b".") >= 3 and _digits(w) >= 4, "card": lambda w: _digits(w) >= 4 and _digits(w) == _alnum(w) and b"+" not in w, "phone": lambda w: _digits(w) >= 1, "secret": lambda w: len(w) >= 16 and _digits(w) >= 1, "iban": lambda w: _alnum(w) >= 1, "ssn": lambda w: _digits(w) == 9}
 
 
 def _trim(word: bytes, kind: str) -> tuple[int, int]:
@@ -351,42 +401,68 @@ def _trim(word: bytes, kind: str) -> tuple[int, int]:
     return a, b
 
 
-def find_spans(column: pa.Array, model: Model) -> list[tuple[list, list]]:
-    """For each text: the spans of the patterns, and those with the ones that the model adds where no pattern's span lies; (start, kind's number, end) in order."""
-    w = words_of(column, False)
-    labels = model.viterbi(shapes(w.data, w.starts, w.ends), w.offsets)
+def _added(w, labels: np.ndarray) -> list[tuple[int, int, int, int]]:
+    """(row, start, kind's number, end), in bytes of all texts, of the spans that labels say."""
+    data, out, last = w.data, [], (-2, 0, -1)
     marked = np.flatnonzero(labels)
-    rows = np.searchsorted(w.offsets, marked, "right") - 1
-    added: dict[int, list[tuple[int, int, int]]] = {}
-    data = w.data.tobytes()
-    last = (-2, 0, -1)
-    for at, row in zip(marked.tolist(), rows.tolist()):
+    size = 0
+    for at, row in zip(marked.tolist(), (np.searchsorted(w.offsets, marked, "right") - 1).tolist()):
         label = int(labels[at])
         kind = LABELS[label]
-        a, b = _trim(data[w.starts[at] : w.ends[at]], kind)
+        word = data[w.starts[at] : w.ends[at]].tobytes()
+        a, b = _trim(word, kind)
         if a == b:
             continue
         start, end = int(w.starts[at]) + a, int(w.starts[at]) + b
-        own = added.setdefault(row, [])
-        if kind in JOINED and last == (at - 1, label, row):
-            own[-1] = (own[-1][0], label - 1, end)
+        own = (_alnum if kind == "iban" else _digits)(word[a:b])
+        if kind in JOINED and last == (at - 1, label, row) and size + own <= JOINED[kind][1]:
+            out[-1] = (row, out[-1][1], label - 1, end)
+            size += own
         else:
-            own.append((start, label - 1, end))
+            if out and not _enough(data, out[-1], size):
+                out.pop()
+            out.append((row, start, label - 1, end))
+            size = own
         last = (at, label, row)
+    if out and not _enough(data, out[-1], size):
+        out.pop()
+    return out
+
+
+_IBAN = re.compile(rb"[A-Z]{2}[0-9]{2}")
+
+
+def _enough(data: np.ndarray, span: tuple[int, int, int, int], size: int) -> bool:
+    _, start, kind, _ = span
+    low, high = JOINED.get(KINDS[kind], (0, size))
+    return low <= size <= high and (KINDS[kind] != "iban" or _IBAN.match(data[start : start + 4].tobytes()) is not None)
+
+
+def find_spans(column: pa.Array, model: Model) -> list[tuple[list, list]]:
+    """For each text: the spans of the patterns, and those with the ones that the model adds where no pattern's span lies; (start, kind's number, end) in order. Time and memory grow as the texts and their spans."""
+    w = words_of(column, False)
+    added = _added(w, model.viterbi(shapes(w.data, w.starts, w.ends), w.offsets))
+    if added:
+        # code points before each byte
+        before = np.zeros(len(w.data) + 1, np.int32)
+        np.cumsum((w.data & 0xC0) != 0x80, out=before[1:])
+    by_row = {row: list(own) for row, own in itertools.groupby(added, key=lambda x: x[0])}
     out = []
     for row, text in enumerate(column.to_pylist()):
         base = base_spans(text or "")
         spans = base
-        if row in added:
-            begin = int(w.rows[row])
-            spans = list(base)
-            for start, kind, end in added[row]:
-                a = len(data[begin:start].decode("utf-8", "surrogatepass"))
-                b = a + len(data[start:end].decode("utf-8", "surrogatepass"))
-                if not any(a < y and x < b for x, _, y in base):
-                    spans.append((a, kind, b))
-            # a phone number is its digits together
-            spans = sorted(x for x in spans if x in base or KINDS[x[1]] != "phone" or sum(c.isdigit() for c in text[x[0] : x[2]]) >= 7)
+        if row in by_row:
+            first = int(before[w.rows[row]])
+            starts = [x for x, _, _ in base]
+            ends = list(itertools.accumulate((y for *_, y in base), max))
+            more = []
+            for _, start, kind, end in by_row[row]:
+                a, b = int(before[start]) - first, int(before[end]) - first
+                # of the patterns' spans that begin before b, does any end after a?
+                k = bisect.bisect_left(starts, b)
+                if not k or ends[k - 1] <= a:
+                    more.append((a, kind, b))
+            spans = sorted(base + more)
         out.append((base, spans))
     return out
 
@@ -395,17 +471,17 @@ def _joined(spans) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
 
 
-FOUND = "n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string"
+FOUND = "n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string, n_spans bigint, personal boolean"
 
 
 def detect(docs: DataFrame, model: Model | None = None, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row for each row of docs: doc_id, counts of the patterns, base_sha256 of their spans, and all spans, in code points.
+    """One row for each row of docs: doc_id, counts of the patterns, base_sha256 of their spans, all spans, in code points, their number, and personal: whether there is any.
 
     spans has those of the patterns and of the model (fitted on labelled_table() if none is
     given), joined by commas. A null or empty text has none. Repeated rows give repeated rows,
     an empty table an empty one; other columns are not read. Whole texts are searched.
     """
-    model = model or train(labelled_table())
+    model = model or default_model()
 
     def run(batches):
         for batch in batches:
@@ -413,14 +489,19 @@ def detect(docs: DataFrame, model: Model | None = None, id: str = "doc_id", text
                 found = find_spans(piece.column("text"), model)
                 counts = [[sum(k == kind for _, k, _ in base) for base, _ in found] for kind in range(4)]
                 digests = [hashlib.sha256(_joined(base).encode()).hexdigest() for base, _ in found]
-                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), *(pa.array(c, pa.int64()) for c in counts), pa.array(digests, pa.string()), pa.array([_joined(s) for _, s in found], pa.string())], names=["doc_id", *(x.split()[0] for x in FOUND.split(", "))])
+                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), *(pa.array(c, pa.int64()) for c in counts), pa.array(digests, pa.string()), pa.array([_joined(s) for _, s in found], pa.string()), pa.array([len(s) for _, s in found], pa.int64()), pa.array([bool(s) for _, s in found], pa.bool_())], names=["doc_id", *(x.split()[0] for x in FOUND.split(", "))])
 
     return docs.select(F.col(id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(releasing(run), f"doc_id bigint, {FOUND}")
 
 
 def mask(docs: DataFrame, model: Model | None = None, text: str = "text", length: str | None = "n_chars") -> DataFrame:
-    """docs with each span of its text replaced by its kind in brackets, as [email]; overlapping spans by the first one's. length: a column that gets the new number of code points (null stays null); other columns don't change."""
-    model = model or train(labelled_table())
+    """docs with each span of its text replaced by its kind in brackets, as [email]; overlapping spans by the first one's.
+
+    length: a column that gets the new number of code points where the text changes (a null stays null); other columns
+    don't change, whatever their names. A null or empty text stays as it is. Repeated rows stay
+    repeated; an empty table gives an empty one.
+    """
+    model = model or default_model()
     names = docs.columns
 
     def run(batches):
