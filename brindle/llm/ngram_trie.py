@@ -16,10 +16,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Scratch, mix, pieces, publish, words_of
+from .common import U64, Scratch, mix, pieces, publish, releasing, words_of
 
 #: The end of a text is a word with this hash.
 END = U64(0x5DEECE66D5DEECE6)
@@ -284,8 +285,37 @@ def _slot(hashes: np.ndarray, shard: int, shards: int, slots: int) -> np.ndarray
     return np.minimum((inside * (slots * shards / 2.0**32)).astype(np.int64), slots - 1)
 
 
+#: Blocks of so many input partitions are added up in one task.
+FAN_IN = 64
+
+
+def _add_up(blocks: DataFrame, schema: str, merge, partitions: int) -> DataFrame:
+    """Blocks (shard, part, ...) with those of FAN_IN neighbouring parts of a shard added up by merge, until a shard has at most FAN_IN. So no task gets a frequent row from more than FAN_IN blocks, however many partitions there are."""
+    while partitions > FAN_IN:
+        partitions = -(-partitions // FAN_IN)
+        blocks = blocks.withColumn("part", F.floor(F.col("part") / FAN_IN).cast("int")).groupBy("shard", "part").applyInArrow(merge, schema)
+    return blocks
+
+
+def _sum_words(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    hashes = np.concatenate([np.frombuffer(x, np.uint64) for x in table.column("hashes").to_pylist()])
+    counts = np.concatenate([np.frombuffer(x, np.int64) for x in table.column("counts").to_pylist()])
+    order = np.argsort(hashes)
+    hashes, counts = hashes[order], counts[order]
+    firsts = np.flatnonzero(np.diff(hashes, prepend=hashes[0] ^ U64(1)))
+    return hashes[firsts], np.add.reduceat(counts, firsts)
+
+
+WORD_BLOCKS = "shard int, part int, hashes binary, counts binary"
+
+
+def _merge_words(table: pa.Table) -> pa.Table:
+    hashes, counts = _sum_words(table)
+    return pa.table({"shard": table.column("shard").slice(0, 1), "part": table.column("part").slice(0, 1), "hashes": pa.array([hashes.tobytes()], pa.binary()), "counts": pa.array([counts.tobytes()], pa.binary())})
+
+
 def _count_words(docs: DataFrame, shards: int) -> DataFrame:
-    """(shard, hashes, counts) blocks of the training texts' words, added up within a partition."""
+    """(shard, part, hashes, counts) blocks of the training texts' words, added up within a partition."""
 
     def run(batches):
         held, size, texts = [], 0, 0
@@ -301,7 +331,7 @@ def _count_words(docs: DataFrame, shards: int) -> DataFrame:
             cut = np.searchsorted(shard, np.arange(shards + 1))
             some = np.flatnonzero(np.diff(cut))
             return pa.RecordBatch.from_arrays(
-                [pa.array(some, pa.int32()), pa.array([hashes[cut[s] : cut[s + 1]].tobytes() for s in some], pa.binary()), pa.array([counts[cut[s] : cut[s + 1]].astype(np.uint32).tobytes() for s in some], pa.binary())], names=["shard", "hashes", "counts"]
+                [pa.array(some, pa.int32()), pa.array(np.full(len(some), TaskContext.get().partitionId()), pa.int32()), pa.array([hashes[cut[s] : cut[s + 1]].tobytes() for s in some], pa.binary()), pa.array([counts[cut[s] : cut[s + 1]].astype(np.int64).tobytes() for s in some], pa.binary())], names=["shard", "part", "hashes", "counts"]
             )
 
         for batch in batches:
@@ -317,18 +347,13 @@ def _count_words(docs: DataFrame, shards: int) -> DataFrame:
             held.append((np.array([END]), np.array([texts])))
             yield out()
 
-    return docs.mapInArrow(run, "shard int, hashes binary, counts binary")
+    return docs.mapInArrow(releasing(run), WORD_BLOCKS)
 
 
 def _write_words(folder: str, shards: int):
     def run(table: pa.Table) -> pa.Table:
         s = table.column("shard")[0].as_py()
-        hashes = np.concatenate([np.frombuffer(x, np.uint64) for x in table.column("hashes").to_pylist()])
-        counts = np.concatenate([np.frombuffer(x, np.uint32) for x in table.column("counts").to_pylist()]).astype(np.int64)
-        order = np.argsort(hashes)
-        hashes, counts = hashes[order], counts[order]
-        firsts = np.flatnonzero(np.diff(hashes, prepend=hashes[0] ^ U64(1)))
-        hashes, counts = hashes[firsts], np.add.reduceat(counts, firsts)
+        hashes, counts = _sum_words(table)
         slots = max(1, len(hashes))
         starts = np.searchsorted(_slot(hashes, s, shards, slots), np.arange(slots + 1)).astype(np.uint32)
         save(os.path.join(folder, f"words-{s}"), {"hashes": hashes, "starts": starts, "counts": counts}, {})
@@ -399,8 +424,32 @@ def _grouped(shard: np.ndarray | None, a: np.ndarray, b: np.ndarray, c: np.ndarr
     return (major >> U64(32)).astype(np.int64), major.astype(np.uint32), (minor >> U64(32)).astype(np.uint32), minor.astype(np.uint32), n
 
 
+TRIGRAM_BLOCKS = "shard int, part int, first binary, second binary, third binary, n binary"
+
+
+def _blocks(shards: list[int], part: int, columns: list[tuple[np.ndarray, ...]], width: int) -> pa.RecordBatch:
+    """A row for each shard: its trigrams' columns a, b, c and n as bytes. First words are sorted, so their differences are small, and compress."""
+    kinds = (lambda x: _bytes(np.diff(x.astype(np.int64), prepend=0), width), lambda x: _bytes(x, width), lambda x: _bytes(x, width), lambda x: x.astype(np.uint32).tobytes())
+    return pa.RecordBatch.from_arrays([pa.array(shards, pa.int32()), pa.array([part] * len(shards), pa.int32()), *(pa.array([f(c[k]) for c in columns], pa.binary()) for k, f in enumerate(kinds))], names=["shard", "part", "first", "second", "third", "n"])
+
+
+def _sum_trigrams(table: pa.Table, width: int) -> tuple[np.ndarray, ...]:
+    blocks = lambda k, f: np.concatenate([f(x.as_buffer()) for x in table.column(k)])
+    a = blocks("first", lambda x: np.cumsum(_ints(x, width)).astype(np.uint32))
+    b, c = (blocks(k, lambda x: _ints(x, width).astype(np.uint32)) for k in ("second", "third"))
+    return _grouped(None, a, b, c, blocks("n", lambda x: np.frombuffer(x, np.uint32)))[1:]
+
+
+def _merge_trigrams(sizes: Sizes):
+    def run(table: pa.Table) -> pa.Table:
+        shard, part, width = table.column("shard")[0].as_py(), table.column("part")[0].as_py(), _width(sizes)
+        return pa.Table.from_batches([_blocks([shard], part, [_sum_trigrams(table, width)], width)])
+
+    return run
+
+
 def _count_trigrams(docs: DataFrame, sizes: Sizes) -> DataFrame:
-    """(shard, first, second, third, n) blocks, added up within a partition. A pair that ends a text is followed by the number `unknown`, so that it's counted as a pair."""
+    """(shard, part, first, second, third, n) blocks, added up within a partition. A pair that ends a text is followed by the number `unknown`, so that it's counted as a pair."""
 
     def run(batches):
         vocabulary, width = Vocabulary(sizes), _width(sizes)
@@ -411,9 +460,7 @@ def _count_trigrams(docs: DataFrame, sizes: Sizes) -> DataFrame:
             shard, a, b, c, n = _grouped(_shard_of_pair(a, b, sizes.shards), a, b, c, np.ones(len(a), np.uint32))
             cut = np.searchsorted(shard, np.arange(sizes.shards + 1))
             some = np.flatnonzero(np.diff(cut))
-            # first words are sorted, so their differences are small, and compress
-            parts = [[pa.array([f(x[cut[s] : cut[s + 1]]) for s in some], pa.binary()) for x, f in ((a, lambda x: _bytes(np.diff(x.astype(np.int64), prepend=0), width)), (b, lambda x: _bytes(x, width)), (c, lambda x: _bytes(x, width)), (n, lambda x: x.astype(np.uint32).tobytes()))]]
-            return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), *parts[0]], names=["shard", "first", "second", "third", "n"])
+            return _blocks([int(x) for x in some], TaskContext.get().partitionId(), [tuple(x[cut[k] : cut[k + 1]] for x in (a, b, c, n)) for k in some], width)
 
         for batch in batches:
             for piece in pieces(batch, "text", 2 << 20):
@@ -428,7 +475,7 @@ def _count_trigrams(docs: DataFrame, sizes: Sizes) -> DataFrame:
         if held:
             yield out()
 
-    return docs.mapInArrow(run, "shard int, first binary, second binary, third binary, n binary")
+    return docs.mapInArrow(releasing(run), TRIGRAM_BLOCKS)
 
 
 def _relative(values: np.ndarray, firsts: np.ndarray) -> np.ndarray:
@@ -442,12 +489,8 @@ def _write_trie(sizes: Sizes):
     def run(table: pa.Table) -> pa.Table:
         width, vocabulary = _width(sizes), Vocabulary(sizes)
         s = table.column("shard")[0].as_py()
-        blocks = lambda k, f: np.concatenate([f(x.as_buffer()) for x in table.column(k)])
-        a = blocks("first", lambda x: np.cumsum(_ints(x, width)).astype(np.uint32))
-        b, c = (blocks(k, lambda x: _ints(x, width).astype(np.uint32)) for k in ("second", "third"))
-        n = blocks("n", lambda x: np.frombuffer(x, np.uint32))
+        a, b, c, n = _sum_trigrams(table, width)
         del table
-        _, a, b, c, n = _grouped(None, a, b, c, n)
         a, b, c, n = (x.astype(np.int64) for x in (a, b, c, n))
         pair = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))))
         n2 = np.add.reduceat(n, pair)
@@ -506,14 +549,17 @@ def train(docs: DataFrame, scratch: Scratch, text: str = "text", bytes_in_shard:
     """Fit the model on all rows of docs and write its files. The driver gets a row for each shard.
 
     Counts are blocks of arrays that are added up within partitions before each of the three
-    shuffles: words by hash, trigrams by context, followers by word. A context of two words is
-    the unit that isn't split; it has at most as many rows as there are words.
+    shuffles: words by hash, trigrams by context, followers by word. Of words and trigrams, blocks
+    of FAN_IN partitions are then added up, and of FAN_IN such, so a task gets a frequent row at
+    most FAN_IN times. A context of two words is the unit that isn't split; it has at most as many
+    rows as there are words.
     """
     docs = docs.select(F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    size, last = docs.withColumn("part", F.spark_partition_id()).agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.coalesce(F.max("part"), F.lit(0))).first()
+    partitions = last + 1
     shards = max(4, math.ceil(size / bytes_in_shard))
     folder = scratch.folder("model")
-    counted = _count_words(docs, shards).groupBy("shard").applyInArrow(_write_words(folder, shards), "shard int, words bigint, tokens bigint, texts bigint").collect()
+    counted = _add_up(_count_words(docs, shards), WORD_BLOCKS, _merge_words, partitions).groupBy("shard").applyInArrow(_write_words(folder, shards), "shard int, words bigint, tokens bigint, texts bigint").collect()
     words = [0] * (shards + 1)
     for r in counted:
         words[r["shard"] + 1] = r["words"]
@@ -522,7 +568,9 @@ def train(docs: DataFrame, scratch: Scratch, text: str = "text", bytes_in_shard:
     before = np.cumsum(words).tolist()
     sizes = Sizes(folder, shards, before[:-1], sum(r["texts"] for r in counted), sum(r["tokens"] for r in counted), before[-1])
     # the word number is looked up with searchsorted on `before`, where an empty shard ties with the next: the right one is the last
-    followers = _count_trigrams(docs, sizes).groupBy("shard").applyInArrow(_write_trie(sizes), "shard int, word binary, n binary")
+    if sizes.unknown >= 1 << 32:
+        raise ValueError(f"{sizes.words} words: numbers of words have 32 bits")
+    followers = _add_up(_count_trigrams(docs, sizes), TRIGRAM_BLOCKS, _merge_trigrams(sizes), partitions).groupBy("shard").applyInArrow(_write_trie(sizes), "shard int, word binary, n binary")
     followers.groupBy("shard").applyInArrow(_write_weights(sizes), "shard int").collect()
     return sizes
 
@@ -572,9 +620,9 @@ class Trie:
             own[places] = restore(t["own2"][at])
         return shard, node, own
 
-    def thirds(self, shard: np.ndarray, node: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For each context and word: the share that level 3 gives it, and the context's weight for level 2 (1 if the context never occurs)."""
-        own, weight = np.zeros(len(c)), np.ones(len(c))
+    def thirds(self, shard: np.ndarray, node: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each context and word: the share that level 3 gives it, the context's weight for level 2 (1 if the context never occurs), and how often the three occur: exact up to some hundreds, as shares and weights are quantised."""
+        own, weight, count = np.zeros(len(c)), np.ones(len(c)), np.zeros(len(c))
         known = np.flatnonzero(node >= 0)
         for s, places in _by_shard(shard[known]):
             t, places = self.shard(s), known[places]
@@ -583,7 +631,9 @@ class Trie:
             at = self._child(t["pointers3"], t["words3"], node[places], c[places])
             places, at = places[at >= 0], at[at >= 0]
             own[places] = restore(t["own3"][at])
-        return own, weight
+            kinds = t["pointers3"].access(node[places] + 1) - t["pointers3"].access(node[places])
+            count[places] = np.rint(own[places] * DISCOUNT * kinds / weight[places] + DISCOUNT)
+        return own, weight, count
 
 
 class Scorer:
@@ -613,7 +663,7 @@ class Scorer:
             return np.ones(len(count))
         return np.maximum(count - DISCOUNT, 0) / n + DISCOUNT * v / n / (v + 1)
 
-    def score(self, column: pa.Array) -> dict[str, np.ndarray]:
+    def score(self, column: pa.Array, held_out: np.ndarray) -> dict[str, np.ndarray]:
         numbers, counts, offsets = _ids(column, self.vocabulary)
         one, two = _before(numbers, offsets, self.sizes)
         first = np.zeros(len(numbers), bool)
@@ -623,19 +673,27 @@ class Scorer:
         begin = self.trie.pairs(np.array([self.sizes.before_start]), np.array([self.sizes.start]))
         context_shard, context = np.concatenate(([0], shard[:-1])), np.concatenate(([-1], node[:-1]))
         context_shard[first], context[first] = begin[0][0], begin[1][0]
-        own3, weight3 = self.trie.thirds(context_shard, context, numbers)
+        own3, weight3, occurs = self.trie.thirds(context_shard, context, numbers)
         p = own2 + self._weight(one) * self.unigram(counts)
         p = own3 + weight3 * p
+        # a training row's own occurrences don't count as seen
+        row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets)).astype(np.uint64)
+        key = mix(mix(mix(row + U64(1)) + (two.astype(np.uint64) << U64(32)) + one.astype(np.uint64)) + numbers.astype(np.uint64))
+        _, inverse, own = np.unique(key, return_inverse=True, return_counts=True)
+        seen = occurs - np.where(np.repeat(held_out, np.diff(offsets)), 0, own[inverse]) > 0.5
         base = np.log10((counts + 1) / (self.sizes.tokens + self.sizes.words + 1))
         add = lambda x: np.add.reduceat(x, offsets[:-1]) if len(offsets) > 1 else np.zeros(0)
-        return {"n_tokens": np.diff(offsets), "n_known": add((counts > 0).astype(np.int64)), "base_score": add(base), "score": add(np.log10(p))}
+        return {"n_tokens": np.diff(offsets), "n_known": add((counts > 0).astype(np.int64)), "base_score": add(base), "score": add(np.log10(p)), "seen_share": add(seen.astype(np.float64)) / np.diff(offsets)}
 
 
-SCORES = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
+SCORES = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, gain double, seen_share double"
 
 
 def score(docs: DataFrame, id: str = "doc_id", text: str = "text", folds: int = 7, held: int = 2) -> DataFrame:
-    """One row for each row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10).
+    """One row for each row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10), gain (how much score is above base_score, for each token) and seen_share.
+
+    seen_share: the share of tokens that training rows other than the row itself have after the same two words;
+    near 1 for a text of which training has a copy.
 
     Learns from the rows whose crc32 of the id as text, modulo folds, isn't held (a null id counts
     as an empty text). Words: [^\\x20\\x09-\\x0D]+ with A-Z as a-z, then one end. A null or empty
@@ -649,10 +707,10 @@ def score(docs: DataFrame, id: str = "doc_id", text: str = "text", folds: int =
         scorer = Scorer(sizes)
         for batch in batches:
             for piece in pieces(batch, "text", 4 << 20):
-                got = scorer.score(piece.column("text"))
+                got = scorer.score(piece.column("text"), piece.column("held_out").to_numpy(zero_copy_only=False).astype(bool))
                 yield pa.RecordBatch.from_arrays(
-                    [piece.column("doc_id"), piece.column("held_out"), pa.array(got["n_tokens"], pa.int64()), pa.array(got["n_known"], pa.int64()), pa.array(np.full(piece.num_rows, sizes.tokens), pa.int64()), pa.array(got["base_score"], pa.float64()), pa.array(got["score"], pa.float64())],
+                    [piece.column("doc_id"), piece.column("held_out"), pa.array(got["n_tokens"], pa.int64()), pa.array(got["n_known"], pa.int64()), pa.array(np.full(piece.num_rows, sizes.tokens), pa.int64()), *(pa.array(x, pa.float64()) for x in (got["base_score"], got["score"], (got["score"] - got["base_score"]) / got["n_tokens"], got["seen_share"]))],
                     names=[x.split()[0] for x in SCORES.split(", ")],
                 )
 
-    return rows.mapInArrow(run, SCORES)
+    return rows.mapInArrow(releasing(run), SCORES)
