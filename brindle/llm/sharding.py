@@ -12,6 +12,8 @@ from .common import Scratch
 
 #: A key is 63 + 63 bits: 32 of the text's hash, 31 of the id's, then the row's place in the input, for rows that tie in both. So equal texts lie together and yet any of them can be cut.
 BITS = 126
+#: Bits below those of the text's hash: cells of this width hold one text.
+TEXT = 94
 FIRST, NEXT = 12, 8
 
 
@@ -34,11 +36,12 @@ def keyed(docs: DataFrame, id: str = "doc_id", text: str = "text", carry: tuple[
     )
 
 
-def splitters(rows: DataFrame, pieces: int, tolerance: float, total: int) -> tuple[list[tuple[int, int]], int]:
+def splitters(rows: DataFrame, pieces: int, tolerance: float, total: int, edge: float = 0.0) -> tuple[list[tuple[int, int]], int]:
     """pieces - 1 keys, in order, and how many rounds of counting they took. Fewer than i / pieces of the bytes, within tolerance times a piece's share, lie below the i-th.
 
     Each round counts rows and bytes by the next bits of the key in the cells that still hold a
-    splitter; the driver gets at most 2 ** NEXT sums for each of them. A cell of one row can't be cut.
+    splitter; the driver gets at most 2 ** NEXT sums for each of them. A cell of one row can't be
+    cut; a cell of one text isn't, if one of its edges is within edge times a piece's share.
     """
     share = total / pieces
     done: dict[int, int] = {}
@@ -46,14 +49,12 @@ def splitters(rows: DataFrame, pieces: int, tolerance: float, total: int) -> tup
     open_ = {i: (0, 0) for i in range(1, pieces)}
     shift, rounds = BITS, 0
     while open_ and shift > 0:
-        width = min(FIRST if shift == BITS else NEXT, shift)
+        width = min(FIRST if shift == BITS else NEXT, shift - TEXT if shift > TEXT else shift)
         cells = sorted({cell for cell, _ in open_.values()})
         if shift == BITS:
             active = rows.select(F.lit(0).alias("at"), _bits(shift - width, width).alias("cell"), "size")
         else:
-            table = F.create_map(*(F.lit(x) for n, cell in enumerate(cells) for x in (str(cell), n)))
-            prefix = F.concat(F.shiftright("hi", shift - 63).cast("string")) if shift >= 63 else None
-            if prefix is not None:
+            if shift >= 63:
                 keys = F.create_map(*(F.lit(x) for n, cell in enumerate(cells) for x in (cell, n)))
                 at = F.try_element_at(keys, F.shiftright("hi", shift - 63))
             else:
@@ -71,7 +72,7 @@ def splitters(rows: DataFrame, pieces: int, tolerance: float, total: int) -> tup
                 if own + size > target:
                     at = (cell << width) + child
                     lower, upper = target - own, own + size - target
-                    if min(lower, upper) <= tolerance * share or n == 1 or shift == 0:
+                    if min(lower, upper) <= (max(tolerance, edge) if shift == TEXT else tolerance) * share or n == 1 or shift == 0:
                         done[i] = (at if lower <= upper else at + 1) << shift
                         del open_[i]
                     else:
@@ -106,27 +107,40 @@ def _piece(cuts: list[tuple[int, int]]) -> Column:
     return F.aggregate(steps, start, step, lambda s: s["low"])
 
 
-def shard(docs: DataFrame, shards: int = 40, id: str = "doc_id", text: str = "text", carry: tuple[str, ...] = (), tolerance: float = 0.001, rows_in_piece: int = 5_000_000) -> DataFrame:
+def shard(docs: DataFrame, shards: int = 40, id: str = "doc_id", text: str = "text", carry: tuple[str, ...] = (), tolerance: float = 0.001, rows_in_piece: int = 5_000_000, edge: float = 0.02) -> DataFrame:
     """One row for each row of docs: doc_id, size, text_crc32, shard, slot, and the columns named in carry (as __name).
 
     Shards are ranges of the key and have nearly equal bytes: each boundary misses its target by
-    at most tolerance times a shard's share, or by less than the one row that lies across it.
-    size: UTF-8 bytes of the text (null: none) plus 16. Rows with equal text lie together unless
-    a boundary has to cut them, and so do repeated rows; slots are gapless from 0 in the order
-    of the key. An empty table gives an empty one. A shard of more than rows_in_piece rows is
-    sorted in several pieces, so no task grows with the input.
+    at most tolerance times a shard's share, or by less than the one row that lies across it; by
+    up to edge times a share where it then lies between two texts. So rows with equal text lie
+    in one shard, unless they are too many bytes for that; slots are gapless from 0 in the order
+    of the key. size: UTF-8 bytes of the text (null: none) plus 16. Null and repeated ids are
+    rows like others, ties are broken by the row's place in the input, columns of docs with the
+    names used here are not read. An empty table gives an empty one.
+
+    Splitters of rows, found in the same way, cut shards into pieces of about rows_in_piece rows
+    at most, of which each is sorted by itself: no task grows with the input, or with the number
+    of short texts in a shard.
     """
     scratch = Scratch(docs.sparkSession, "shard")
     rows = scratch.table(keyed(docs, id, text, carry), "keyed")
     stats = rows.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"), F.count(F.lit(1)).alias("n")).first()
-    pieces = shards * max(1, math.ceil(stats["n"] / shards / rows_in_piece))
-    cuts, _ = splitters(rows, pieces, tolerance, stats["bytes"])
-    placed = rows.withColumn("piece", _piece(cuts))
-    per = pieces // shards
+    of_bytes, _ = splitters(rows, shards, tolerance, stats["bytes"], edge)
+    parts = math.ceil(stats["n"] / rows_in_piece)
+    of_rows = splitters(rows.withColumn("size", F.lit(1)), parts, 0.05, stats["n"])[0] if parts > 1 else []
+    cuts = sorted([(k, True) for k in of_bytes] + [(k, False) for k in of_rows])
+    piece = _piece([k for k, _ in cuts])
+    placed = rows.withColumn("piece", piece)
+    shard_of = [0]
+    for _, next_shard in cuts:
+        shard_of.append(shard_of[-1] + next_shard)
     order = F.row_number().over(W.partitionBy("piece").orderBy("hi", "tie")) - 1
     out = placed.withColumn("slot", order.cast("bigint"))
-    if per > 1:
+    if of_rows:
         counts = {r["piece"]: r["count"] for r in placed.groupBy("piece").count().collect()}
-        before = [sum(counts.get(k, 0) for k in range(p - p % per, p)) for p in range(pieces)]
+        before = [0] * len(shard_of)
+        for p in range(1, len(shard_of)):
+            before[p] = before[p - 1] + counts.get(p - 1, 0) if shard_of[p] == shard_of[p - 1] else 0
         out = out.withColumn("slot", F.col("slot") + F.element_at(F.array(*(F.lit(x).cast("bigint") for x in before)), F.col("piece") + 1))
-    return out.select("doc_id", "size", "text_crc32", F.floor(F.col("piece") / per).cast("int").alias("shard"), "slot", *(f"__{c}" for c in carry))
+    number = F.element_at(F.array(*(F.lit(x) for x in shard_of)), F.col("piece") + 1)
+    return out.select("doc_id", "size", "text_crc32", number.cast("int").alias("shard"), "slot", *(f"__{c}" for c in carry))
