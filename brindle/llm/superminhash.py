@@ -237,6 +237,8 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
         if state == last:
             break
         last = state
+    else:
+        raise RuntimeError(f"components of {name} don't settle")
     return current.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
@@ -338,7 +340,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id: str
     rows = scratch.table(sketch(docs, scratch.folder("sets"), words, id, text), "sketch")
     files = {r["part"]: r["file"] for r in rows.groupBy("part", "file").count().collect()}
     filled = rows.where("n > 0")
-    classes = scratch.table(filled.groupBy("low", "high").agg(F.min("row").alias("row"), F.min("id").alias("least")), "classes")
+    classes = scratch.table(filled.groupBy("low", "high").agg(F.min("row").alias("row"), F.min("id").alias("least"), F.count(F.lit(1)).alias("copies")), "classes")
     bands = filled.join(classes.select("row"), "row", "left_semi").select("row", F.posexplode("bands").alias("band", "key"))
     shared = bands.groupBy("key").agg(F.min("row").alias("leader"), F.count(F.lit(1)).alias("size")).where("size > 1")
     members = scratch.table(bands.join(shared, "key"), "members")
@@ -348,7 +350,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id: str
     # buckets of two are done; others may hold links beside the leader's
     rest = members.where("size > 2").join(labels.withColumnRenamed("node", "row"), "row", "left").withColumn("root", F.coalesce("root", "row"))
     mixed = rest.groupBy("key").agg(F.min(F.struct("row", "root"))["root"].alias("main"), (F.min("root") < F.max("root")).alias("mixed")).where("mixed").select("key", "main")
-    rest = rest.join(mixed, "key").withColumn("outside", F.col("root") != F.col("main"))
+    rest = scratch.table(rest.join(mixed, "key").withColumn("outside", F.col("root") != F.col("main")), "mixed")
     # members outside the leader's component, in blocks of their own, meet all blocks; the others meet only those
     blocks = rest.groupBy("key").agg(F.ceil(F.count_if("outside") / block).cast("int").alias("out"), F.ceil(F.count_if(~F.col("outside")) / block).cast("int").alias("in"))
     mine = F.when(F.col("outside"), F.pmod(F.xxhash64("row"), "out")).otherwise(F.col("out") + F.pmod(F.xxhash64("row"), "in")).cast("int")
@@ -357,20 +359,26 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id: str
     i, j = F.least("own", "other"), F.greatest("own", "other")
     side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
     spread = spread.select("key", i.alias("i"), j.alias("j"), "band", "row", "root", side.alias("side"))
-    across = scratch.table(_cross(spread.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j"), files, percent), "cross")
+    # a cell is at most block * block comparisons in Python, so tasks are made by cells, not by bytes
+    cells = blocks.agg(F.sum(F.col("out") * (F.col("out") + 1) / 2 + F.col("out") * F.col("in"))).first()[0] or 0
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(100_000, int(cells) // 256))
+    across = scratch.table(_cross(spread.repartition(tasks, "key", "i", "j").sortWithinPartitions("key", "i", "j"), files, percent), "cross")
     if across.take(1):
         found = labels.select(F.col("node").alias("a"), F.col("root").alias("b")).union(across)
         labels = components(found, scratch, "all-components")
     rooted = classes.join(labels.withColumnRenamed("node", "row"), "row", "left").withColumn("root", F.coalesce("root", "row"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.min(F.struct(F.coalesce(F.col("least"), F.lit(2**63 - 1)), "row")).alias("x"))
-    by_class = scratch.table(rooted.join(least, "root").select("low", "high", "root", "component_id"), "by-class")
-    out = rows.select("row", "id", "text_hash", "n", "low", "high").join(by_class, ["low", "high"], "left")
-    # empty sets have a digest of zeros and no class
-    alone = F.col("n") == 0
-    component = F.when(alone, F.col("id")).otherwise(F.col("component_id"))
-    root = F.when(alone, F.col("row")).otherwise(F.col("root"))
-    out = scratch.table(out.select("row", "text_hash", F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), root.alias("root")), "rows")
-    scratch.drop("sketch", "members", "stars", "cross", "sets")
+    by_class = scratch.table(rooted.join(least, "root").select("low", "high", "copies", "root", "component_id"), "by-class")
+    held = rows.select("row", "id", "text_hash", "n", "low", "high")
+    # classes with more than a thousandth of all rows are fewer than 1,000, and would be hot keys
+    hot = F.broadcast(by_class.where(F.col("copies") > rows.count() / 1000).drop("copies"))
+    some = held.where("n > 0")
+    rest = some.join(hot, ["low", "high"], "left_anti").join(by_class.drop("copies"), ["low", "high"])
+    # an empty set has no class
+    alone = held.where("n = 0").select("row", "text_hash", F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("id").alias("component_id"), F.col("row").alias("root"))
+    out = some.join(hot, ["low", "high"]).unionByName(rest).select("row", "text_hash", F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id", "root").union(alone)
+    out = scratch.table(out, "rows")
+    scratch.drop("sketch", "members", "mixed", "stars", "cross", "sets", "classes", "by-class")
     firsts = out.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min("row").alias("row")).select("row", F.lit(True).alias("first"))
     return out.join(firsts, "row", "left").select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), F.coalesce("first", F.lit(False)).alias("first"), "text_hash")
 
@@ -380,13 +388,15 @@ def keep_one(docs: DataFrame, words: int = 5, percent: int = 80, id: str = "doc_
     found = near_duplicates(docs, words, percent, id, text)
     keep = found.where("first").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"))
     repeated = found.groupBy("doc_id", "text_hash").count().where("count > 1").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"))
-    hashed = docs.withColumn("__text_hash", F.xxhash64(text))
+    # a name that docs doesn't have
+    hash_name = "__text_hash" + "_" * sum(c.startswith("__text_hash") for c in docs.columns)
+    hashed = docs.withColumn(hash_name, F.xxhash64(text))
 
     def same(other: DataFrame):
-        return hashed[id].eqNullSafe(other["__id"]) & (hashed["__text_hash"] == other["__hash"])
+        return hashed[id].eqNullSafe(other["__id"]) & (hashed[hash_name] == other["__hash"])
 
     kept = hashed.join(keep, same(keep), "left_semi")
-    return kept.join(repeated, same(repeated), "left_anti").union(kept.join(repeated, same(repeated), "left_semi").dropDuplicates([id, "__text_hash"])).drop("__text_hash")
+    return kept.join(repeated, same(repeated), "left_anti").union(kept.join(repeated, same(repeated), "left_semi").dropDuplicates([id, hash_name])).drop(hash_name)
 
 
 def oracle_sql(words: int, percent: int = 80) -> str:
