@@ -25,13 +25,15 @@ except (AttributeError, OSError):
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a temporary one where that is unset."""
+    """The folder that all executors share: spark.checkpoint.dir. Where that is unset, a temporary one in local mode, as in tests; an error on a cluster."""
     sc = spark.sparkContext
     where = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not where:
         got = sc._jsc.sc().getCheckpointDir()
         if got.isDefined():
             return got.get()
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         where = tempfile.mkdtemp(prefix="brindle-shared-")
         sc.setCheckpointDir(where)
         where = sc._jsc.sc().getCheckpointDir().get()

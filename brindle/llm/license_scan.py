@@ -169,10 +169,14 @@ LINE_HINT = r"licen[cs]|public domain"
 
 
 def notices(known=KNOWN) -> list[tuple[str, str]]:
-    """The texts of one line. They become literals of the plan, so there may be 1,000 at most."""
-    out = [(k, x) for k, x in known if "\n" not in x]
-    if len(out) > 1000 or not all(re.search(LINE_HINT, x.lower()) for _, x in out):
-        raise ValueError(f"at most 1,000 notices of one line, each with {LINE_HINT}")
+    """The texts of one line that have LINE_HINT; others are only known as whole texts. They become literals of the plan, so there may be 1,000 at most."""
+    if isinstance(known, DataFrame):
+        found = known.where(F.col("text").isNotNull() & ~F.col("text").contains("\n") & F.translate("text", UPPER, LOWER).rlike(LINE_HINT)).limit(1001).collect()
+        out = [(r["license"], r["text"]) for r in found]
+    else:
+        out = [(k, x) for k, x in known if "\n" not in x and re.search(LINE_HINT, x.translate(str.maketrans(UPPER, LOWER)))]
+    if len(out) > 1000:
+        raise ValueError("at most 1,000 notices of one line")
     return out
 
 
@@ -192,7 +196,7 @@ def scan(docs: DataFrame, known=KNOWN, id: str = "doc_id", text: str = "text", m
     licences = known_digests(spark, known)
     if len(licences.take(most_broadcast + 1)) <= most_broadcast:
         licences = F.broadcast(licences)
-    lines = [] if isinstance(known, DataFrame) else notices(known)
+    lines = notices(known)
     by_line = F.create_map(*(F.lit(v) for r in known_digests(spark, lines).collect() for v in (r["digest"], r["license"]))) if lines else F.create_map().cast("map<string,string>")
     held = F.coalesce(F.col(text), F.lit(""))
     candidates = F.filter(F.split(held, "\n"), lambda x: F.translate(x, UPPER, LOWER).rlike(LINE_HINT))
