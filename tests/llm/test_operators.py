@@ -52,6 +52,11 @@ def test_licenses(spark, edges, nothing):
     assert {r["doc_id"]: r["notices"] for r in out.collect()}[15] == "MIT"
     own = spark.createDataFrame([("Own", "My very own words.")], "license string, text string")
     assert rows_of(license_scan.scan(table(spark, [(1, "my VERY own words")]), own), "license") == [("Own",)]
+    # notices are found whether the known licences are pairs or a table
+    as_table = spark.createDataFrame(list(license_scan.KNOWN), "license string, text string")
+    assert [rows_of(license_scan.scan(docs, k).orderBy("doc_id"), "license", "n_notices", "notices") for k in (as_table, tuple(license_scan.KNOWN))] == [rows_of(license_scan.scan(docs).orderBy("doc_id"), "license", "n_notices", "notices")] * 2
+    with pytest.raises(ValueError, match="1,000"):
+        license_scan.scan(docs, spark.createDataFrame([("x", f"license {i}") for i in range(1001)], "license string, text string"))
 
 
 def test_notices_by_hand(spark):
@@ -134,6 +139,7 @@ def test_scores_against_brute_force(spark):
         return p
 
     held, base_held = 0.0, 0.0
+    by_doc = {i: collections.Counter(zip(["<0>", "<1>", *t], ["<1>", *t], t)) for i, t in tokens.items()}
     for r in got:
         t = tokens[r["doc_id"]]
         base = sum(math.log10((c1[x] + 1) / (n + v + 1)) for x in t)
@@ -141,6 +147,9 @@ def test_scores_against_brute_force(spark):
         mine = sum(math.log10(p3(*x)) for x in zip(p, p[1:], p[2:]))
         assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(t), sum(c1[x] > 0 for x in t), n)
         assert abs(r["base_score"] - base) < 1e-6 and abs(r["score"] - mine) < 3e-4 * len(t)
+        own = {} if r["held_out"] else by_doc[r["doc_id"]]
+        seen = sum(c3[x] - own.get(x, 0) > 0 for x in zip(p, p[1:], p[2:])) / len(t)
+        assert abs(r["seen_share"] - seen) < 1e-9 and abs(r["gain"] - (r["score"] - r["base_score"]) / len(t)) < 1e-9
         if r["held_out"]:
             held, base_held = held + mine, base_held + base
     assert held > base_held
@@ -149,6 +158,18 @@ def test_scores_against_brute_force(spark):
         assert abs(sum(p3(*context, w) for w in [*(x for x in c1 if x != "<1>"), "?"]) - 1) < 1e-9
 
 
+def test_scores_with_blocks_added_up(spark, monkeypatch):
+    docs = table(spark, [(i, prose(i // 3, 40)) for i in range(60)]).repartition(9, "doc_id").cache()
+    plain = rows_of(ngram_trie.score(docs).orderBy("doc_id"), *(x.split()[0] for x in ngram_trie.SCORES.split(", ")))
+    monkeypatch.setattr(ngram_trie, "FAN_IN", 2)
+    assert rows_of(ngram_trie.score(docs).orderBy("doc_id"), *(x.split()[0] for x in ngram_trie.SCORES.split(", "))) == plain
+    # a text is three rows': one whose training rows hold another of them is seen as a whole
+    trained = collections.Counter(i // 3 for i in range(60) if zlib.crc32(str(i).encode()) % 7 != 2)
+    for x in plain:
+        copies = trained[x[0] // 3] - (not x[1])
+        assert x[-1] == 1 if copies else x[-1] < 1
+
+
 def test_scores_edges(spark, edges, nothing):
     out = ngram_trie.score(edges).collect()
     assert len(out) == edges.count() and all(math.isfinite(r["score"]) and r["score"] <= 1e-9 for r in out)
@@ -173,6 +194,102 @@ def test_templates(spark):
     assert decontaminate.drop_leaks(docs, bench).columns == docs.columns
 
 
+def _brute_words(text, form):
+    """Template words and slot values of a text, word by word: 0 plain, 1 with names too."""
+    import regex
+
+    out = []
+    text = re.sub(r"[.,:/-](?=\D|$)", " \\g<0>", text or "")
+    before_number = False
+    for raw in text.split():
+        core = regex.sub(r"[^\p{L}\p{N}]+", "", raw)
+        if not core:
+            continue
+        low = core.lower()
+        if core.isdigit():
+            out.append(("#", low, True))
+        elif before_number and low in decontaminate.UNITS.split("|"):
+            out.append(("u", low, True))
+        elif form == 1 and regex.fullmatch(r"\p{Lu}\p{Ll}+", core) and low not in decontaminate.FUNCTION_WORDS:
+            out.append(("n", low, True))
+        else:
+            out.append((low, low, False))
+        before_number = core.isdigit()
+    return out
+
+
+def _brute_leaks(items, text):
+    """What report() says of a text, by comparing each window of each item with each window of the text."""
+    found, changed_any = [], False
+    for i, item in items:
+        for form in (0, 1):
+            mine, theirs = _brute_words(text, form), _brute_words(item, form)
+            size = min(8, len(theirs))
+            if size < 5:
+                continue
+            wins = [(at, tuple(x[0] for x in theirs[at : at + size])) for at in range(len(theirs) - size + 1) if sum(not x[2] for x in theirs[at : at + size]) >= 5]
+            total = len({w for _, w in wins})
+            hits = [(at, k, w) for at, w in wins for k in range(len(mine) - size + 1) if tuple(x[0] for x in mine[k : k + size]) == w]
+            if not total or len({w for *_, w in hits}) < 0.5 * total:
+                continue
+            slots = collections.defaultdict(lambda: collections.defaultdict(set))
+            for at, k, _ in hits:
+                for j in range(size):
+                    if theirs[at + j][2]:
+                        slots[k - at][theirs[at + j][1]].add(mine[k + j][1])
+            good = [(at, k, w) for at, k, w in hits if all(len(v) == 1 for v in slots[k - at].values())]
+            if len({w for *_, w in good}) >= 0.5 * total:
+                found.append(i)
+                changed_any |= any(v != {x} for at, k, _ in good for x, v in slots[k - at].items())
+    return sorted(set(found)), changed_any
+
+
+def test_templates_against_brute_force(spark):
+    r = random.Random(11)
+    names, verbs = ["Anna", "Karl", "Maria", "Tom", "Lena", "Bob"], "has buys sells counts carries paints finds".split()
+    nouns = "red apples,old books,small boxes,green pens,heavy bags of flour".split(",")
+
+    def sentence():
+        a, b = r.choice(names), r.choice(names)
+        return f"{a} {r.choice(verbs)} {r.randint(2, 40)} {r.choice(nouns)} and {r.choice(verbs)} {r.randint(2, 9)} km later {r.choice(['with', 'for'])} {b} ."
+
+    def change(text):
+        for old in names:
+            if r.random() < 0.3:
+                text = text.replace(old, r.choice(names))
+        if r.random() < 0.3:
+            text = re.sub(r"[0-9]+", lambda m: str(r.randint(2, 40)), text)
+        if r.random() < 0.2:
+            text = r.choice([text.lower(), text.upper(), text.title()])
+        w = text.split()
+        for _ in range(r.choice([0, 0, 1, 4])):
+            w[r.randrange(len(w))] = r.choice(["new", "Karl", "7", "km"])
+        return " ".join(w)
+
+    items = [(i, " ".join(sentence() for _ in range(r.randint(1, 3)))) for i in range(25)]
+    # a beginning that many items share
+    items += [(100 + i, f"Read the text and then choose the right answer of all below . {sentence()}") for i in range(20)]
+    docs = [(k, " ".join([sentence(), change(r.choice(items)[1]), r.choice(["", "then ok", "Well ."])])) for k in range(250)] + [(900, "Read the text and then choose the right answer of all below .")]
+    got = {r["doc_id"]: (r["item_ids"], r["reparameterised"]) for r in decontaminate.report(table(spark, docs), spark.createDataFrame(items, "item_id bigint, text string")).collect()}
+    want = {k: _brute_leaks(items, t) for k, t in docs}
+    assert {k: v for k, v in got.items() if v != want[k]} == {}
+    assert 50 < sum(bool(f) for f, _ in want.values()) < 251 and any(c for _, c in want.values())
+
+
+def test_case_does_not_hide_a_copy(spark):
+    item = "If Anna asks Peter and Peter asks Maria then Maria and Anna call Karl before Karl meets Anna"
+    bench = spark.createDataFrame([(1, item)], "item_id bigint, text string")
+    docs = table(spark, list(enumerate([item, item.lower(), item.upper(), item.title(), "so " + item.lower().replace("anna", "berta")])))
+    assert [r["contaminated"] for r in decontaminate.report(docs, bench).orderBy("doc_id").collect()] == [True, True, True, True, False]
+
+
+def test_columns_that_clash(spark):
+    bench = spark.createDataFrame([(1, prose(1, 40))], "item_id bigint, text string")
+    docs = table(spark, [(1, prose(1, 40)), (2, None), (None, prose(2)), (None, prose(1, 40))]).withColumn("__doc", F.lit(1)).withColumn("__hash", F.lit(2)).withColumn("doc", F.lit(3)).withColumn("item", F.lit(4))
+    assert sorted((r["doc_id"] or 0) for r in decontaminate.drop_leaks(docs, bench).collect()) == [0, 2]
+    assert decontaminate.drop_leaks(docs, bench).columns == docs.columns and decontaminate.report(docs, bench).where("contaminated").count() == 2
+
+
 def test_items_with_few_literals(spark):
     items = ["What is 12 times 34?", "Is 1 + 2 = 3?", "Solve 7.", "12 13 14 15 16 17 18 19 20 21 22", "Wer kennt Karl Otto Meier Schmidt?"]
     bench = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
@@ -241,7 +358,7 @@ def test_shards_are_near_equal(spark):
     docs = [(i, prose(i, r.choice([5, 50, 500]))) for i in range(600)] + [(1000 + i, prose(7, 100)) for i in range(300)]
     rows, sizes = check_shards(sharding.shard(table(spark, docs), 8, rows_in_piece=40), 8)
     longest = max(r["size"] for r in rows)
-    assert max(sizes) - min(sizes) <= 2 * longest + 0.002 * sum(sizes) / 8
+    assert max(sizes) - min(sizes) <= 2 * longest + 2 * 0.02 * sum(sizes) / 8
     wanted = {i: (len(t.encode()) + 16, zlib.crc32(t.encode())) for i, t in docs}
     assert {r["doc_id"]: (r["size"], r["text_crc32"]) for r in rows} == wanted
     # equal texts lie together: in runs of shards that no other boundary splits twice
@@ -249,6 +366,26 @@ def test_shards_are_near_equal(spark):
     assert own == list(range(own[0], own[-1] + 1))
 
 
+def test_equal_texts_share_a_shard(spark):
+    r = random.Random(5)
+    docs = [(i, prose(i // 3, 30 + i // 3 % 50)) for i in range(1500)] + [(5000 + i, "hot") for i in range(6000)] + [(20_000 + i, None) for i in range(2000)]
+    r.shuffle(docs)
+    rows, sizes = check_shards(sharding.shard(table(spark, docs), 10, rows_in_piece=500), 10)
+    assert max(sizes) - min(sizes) <= 2 * 0.02 * sum(sizes) / 10 + 600
+    text, by = dict(docs), collections.defaultdict(set)
+    for x in rows:
+        by[text[x["doc_id"]]].add(x["shard"])
+    # but for the two texts that are more than a shard's share
+    assert all(len(v) == 1 for k, v in by.items() if k not in ("hot", None)) and len(by["hot"]) > 1
+
+
+def test_pieces_are_bounded_in_rows(spark):
+    rows = sharding.keyed(table(spark, [(i, "same" if i % 2 else None) for i in range(4000)]))
+    cuts, _ = sharding.splitters(rows.withColumn("size", F.lit(1)), 8, 0.05, 4000)
+    counts = [r["count"] for r in rows.withColumn("piece", sharding._piece(cuts)).groupBy("piece").count().collect()]
+    assert len(counts) == 8 and max(counts) <= 500 * 1.11
+
+
 def test_shards_edges(spark, edges, nothing):
     rows, _ = check_shards(sharding.shard(edges, 4), 4)
     assert len(rows) == edges.count()
@@ -352,12 +489,44 @@ def test_mined_rules_against_brute_force(spark):
             for s in itertools.combinations(tokens[i], n):
                 all_[s] += 1
                 bad[s] += quality[i] == 0
-    rules = {s for s in all_ if bad[s] >= 10 and bad[s] / all_[s] >= 0.6}
+    n, base = 300, sum(quality[i] == 0 for i in range(1, 600, 2)) / 300
+    enough = min(2 * base, 1 - (1 - base) / 2)
+    rules = {s for s in all_ if bad[s] >= 10 and bad[s] / all_[s] >= enough and bad[s] - all_[s] * base >= 3 * math.sqrt(all_[s] * base * (1 - base))}
     want = {i for i, t in enumerate(tokens) if any(set(s) <= set(t) for s in rules)}
-    got = {r["page_id"] for r in url_rules.judge(pages, labels, rules=(), min_support=10).where("verdict = 'block'").collect()}
+    got = {r["page_id"] for r in url_rules.judge(pages, labels, rules=(), min_support=10, min_sigmas=3).where("verdict = 'block'").collect()}
     assert got == want and want
 
 
+def test_planted_rules_at_any_size(spark, duck):
+    """A token that makes URLs bad blocks them, whatever the table's size and the share of bad ones elsewhere; tokens that say nothing don't. The SQL says the same."""
+    for n, rate in ((2000, 0.05), (40_000, 0.3)):
+        r = random.Random(n)
+        rows = []
+        for i in range(n):
+            host = r.choice(["a", "b", "c", "d"])
+            spam = r.random() < 0.02
+            rows.append((i, f"http://{host}.org/{'pills' if spam else r.choice(['x', 'y', 'z'])}/{i}", int(r.random() > (0.9 if spam else rate)), 0))
+        pages = spark.createDataFrame([x[:2] for x in rows], "page_id bigint, url string")
+        labels = spark.createDataFrame([(i, q, t) for i, _, q, t in rows], "doc_id bigint, quality int, toxic int")
+        got = url_rules.judge(pages, labels, rules=()).where("verdict = 'block'").collect()
+        assert {x["page_id"] for x in got} == {i for i, u, *_ in rows if "/pills/" in u}
+    import duckdb
+
+    con = duckdb.connect()
+    con.register("pages", pages.toArrow())
+    con.register("labels", labels.toArrow())
+    want = con.execute(url_rules.oracle_sql()).fetchall()
+    same(rows_of(url_rules.judge(pages, labels), "page_id", "host", "path", "rule", "verdict", "confidence"), want)
+    assert sum(x[5] is not None for x in want) > 100
+
+
+def test_toxic_is_bad_whatever_the_quality(spark):
+    rows = [(i, f"http://{'bad' if i % 4 == 0 else 'fine'}.org/{i}") for i in range(400)]
+    labels = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i, _ in rows], "doc_id bigint, quality int, toxic int")
+    got = url_rules.judge(spark.createDataFrame(rows, "page_id bigint, url string"), labels, rules=()).where("verdict = 'block'").collect()
+    assert {x["page_id"] for x in got} == set(range(0, 400, 4))
+
+
 def test_urls_edges(spark):
     none = spark.createDataFrame([], "page_id bigint, url string")
     labels = spark.createDataFrame([(1, 0, 0)] * 3, "doc_id bigint, quality int, toxic int")
@@ -524,7 +693,68 @@ def test_chunks_are_the_librarys():
 
 @pytest.fixture(scope="module")
 def model():
-    return crf.train(crf.labelled_table())
+    return crf.default_model()
+
+
+def test_likelihood_against_enumeration():
+    import itertools
+
+    rows = [("call 555-123-4567 now", [(5, 17, "phone")]), ("a", []), ("", []), ("key=0123456789abcdef0 x", [(4, 21, "secret")])]
+    at, r = crf.likelihood(rows), np.random.default_rng(2)
+    total, n = sum(crf.SIZES), len(crf.LABELS)
+    x = r.normal(0, 0.5, (3 * total + n) * n)
+    value, gradient = at(x)
+    model, want = crf._model(x), 0.0
+    for text, spans in rows:
+        w = words_of(pa.array([text]), False)
+        scores = model.emissions(crf.shapes(w.data, w.starts, w.ends), w.offsets).astype(float)
+        if len(scores):
+            of = lambda y: sum(s[k] for s, k in zip(scores, y)) + sum(model.moves[a, b] for a, b in zip((0, *y), (*y, 0)))  # noqa: B023, E731
+            gold = [next((crf.LABELS.index(k) for a, b, k in spans if s < b and e > a), 0) for s, e in zip(w.starts, w.ends)]
+            want += of(gold) - math.log(sum(math.exp(of(y)) for y in itertools.product(range(n), repeat=len(scores))))
+    assert abs(value - want) < 1e-4
+    for k in [*r.integers(0, len(x), 20), *range(len(x) - n * n, len(x), 7), *np.argsort(-np.abs(gradient))[:20]]:
+        step = np.zeros_like(x)
+        step[k] = 1e-5
+        assert abs((at(x + step)[0] - at(x - step)[0]) / 2e-5 - gradient[k]) < 1e-4
+    assert not crf.train([("", [])]).weights.any()
+
+
+def test_accuracy_on_written_sentences(model):
+    """Sentences written by hand, in shapes that labelled_table() doesn't have; what is in brackets is a span."""
+    sentences = [
+        "Please charge my card {card:4111 1111 1111 1112} before Friday.", "Meine IBAN ist {iban:DE89 3704 0044 0532 0130 00}, danke.", "You can reach her on tel {phone:555-123-4567} until noon", "His SSN {ssn:123-45-6789} was printed on the form.", "Send it to {email:jo_smith+news@mail.server.co.uk} today",
+        "export API_KEY={secret:9f86d081884c7d659a2feaa0c55ad015a3bf4f1b}", "The box answers at {ip:192.168.10.77} only.", "Ring {phone:+44 20 7946 0958} and ask for Jo", "paid with {card:4539578763621486} last week", "The meeting of 2021-03-04 was moved to 2021-03-11.", "Chapter 12, pages 345-367, of the 1998 edition", "In 1990 1991 1992 1993 and 1994 the harvest failed.",
+        "commit 2fd4e1c67a2d28fced849ee1bb76e7391b93eb12 fixed the build", "It cost $1,250.00 and weighed 12.5 kg in version 1.4.2", "password: {secret:Xk29fPq7Lm30vRt8Wz51aBc6}", "Telefon {phone:030 1234 5678} bitte", "Order 20394857 has 3 items, invoice 99812.", "See https://example.com/a/123 for the rules", "mobile {phone:(212) 555-0199} or the office", "FR76 is not an account by itself.",
+    ]
+    texts, gold = [], []
+    for x in sentences:
+        out, spans = "", set()
+        for k, part in enumerate(re.split(r"\{(.*?)\}", x)):
+            if k % 2:
+                kind, _, value = part.partition(":")
+                spans.add((len(out), crf.KINDS.index(kind), len(out) + len(value)))
+                part = value
+            out += part
+        texts.append(out)
+        gold.append(spans)
+    found = [set(s) for _, s in crf.find_spans(pa.array(texts), model)]
+    wrong = [(t, sorted(f ^ g)) for t, f, g in zip(texts, found, gold) if f != g]
+    hit, n_found, n_gold = sum(len(f & g) for f, g in zip(found, gold)), sum(map(len, found)), sum(map(len, gold))
+    assert hit / n_found >= 0.85 and hit / n_gold >= 0.85, wrong
+
+
+def test_spans_take_linear_time(model):
+    import time
+
+    text = " ".join("é mail a.b@c.example.org card 4111 1111 1111 1112 tel 555-123-4567" for _ in range(5000))
+    took = []
+    for n in (4, 1):
+        start = time.process_time()
+        spans = crf.find_spans(pa.array([text[: len(text) // n]]), model)[0][1]
+        took.append(time.process_time() - start)
+    assert len(spans) == 15_000 and took[1] < 10 * took[0] + 0.5
+    assert all(text[a:b] == {"email": "a.b@c.example.org", "card": "4111 1111 1111 1112", "phone": "555-123-4567"}[crf.KINDS[k]] for a, k, b in spans)
 
 
 def plain_spans(x):
