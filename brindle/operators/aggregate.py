@@ -34,10 +34,16 @@ class Level:
     index: Index | None = None
     distinct: str | None = None
     extra: dict[str, Column] = field(default_factory=dict)
+    every: DataFrame | None = None
+    other: bool = False
 
 
 def aggregate(index: Index, df: DataFrame, aggs: dict, parents: tuple[str, ...] = (), path: str = "", kept: DataFrame | None = None) -> dict[str, DataFrame]:
-    """Path of each bucket aggregation ("a", "a>b") -> its buckets; "" (or the parent's path) has the metrics of the level above. Pipelines are applied to the buckets."""
+    """Path of each bucket aggregation ("a", "a>b") -> its buckets; "" (or the parent's path) has the metrics of the level above. Pipelines are applied to the buckets.
+
+    Beside the buckets of terms and multi_terms, "a:other" has sum_other_doc_count and
+    doc_count_error_upper_bound (0, as counts are exact), a row for each parent.
+    """
     out: dict[str, DataFrame] = {}
     own, siblings = {}, {}
     for name, body in aggs.items():
@@ -102,11 +108,16 @@ def _bucket(index: Index, df: DataFrame, name: str, kind: str, body: dict, paren
         grouped = _with_fixed(grouped, level, parents, kept, own)
     if level.fill is not None:
         grouped = level.fill(grouped, parents, level.key, own)
+    if level.every is not None:
+        grouped = _filled(level.every.select(level.key).distinct().join(grouped, level.key, "left"), grouped, own)
+    if not level.key and parents and kept is not None:
+        # parents without a row here have an empty bucket
+        grouped = _filled(kept.select(*parents).join(grouped, list(parents), "left"), grouped, own)
     if level.least > 1:
         grouped = grouped.where(F.col("doc_count") >= level.least)
     for column, value in level.extra.items():
         grouped = grouped.withColumn(column, value)
-    cut = False
+    cut, whole = False, grouped
     if level.size is not None:
         total = W.partitionBy(*parents) if parents else W.partitionBy(F.lit(0))
         order = level.order(own) if callable(level.order) else level.order
@@ -119,7 +130,7 @@ def _bucket(index: Index, df: DataFrame, name: str, kind: str, body: dict, paren
     here = f"{path}>{name}" if path else name
     down = {n: b for n, b in subs.items() if n not in own}
     parent_pipes = [(n, k, b[k]) for n, b in down.items() for k in b if k in pipelines.PARENT]
-    out = {}
+    out = {f"{here}:other": _other(whole, grouped, parents)} if level.other else {}
     # rows of buckets that were cut don't reach the levels below; the kept keys are at most size for each parent
     below = rows.join(F.broadcast(grouped.select(*keys)) if not parents else grouped.select(*keys), list(keys), "left_semi") if cut and keys and any(k in _BUCKETS for b in down.values() for k in b) else rows
     if down:
@@ -140,6 +151,17 @@ def _with_fixed(grouped: DataFrame, level: Level, parents: tuple[str, ...], kept
         out = every.join(grouped, [*parents, level.key], "left")
     else:
         out = names.join(grouped, level.key, "left")
+    return _filled(out, grouped, own)
+
+
+def _other(whole: DataFrame, shown: DataFrame, parents: tuple[str, ...]) -> DataFrame:
+    """How many rows the buckets that aren't shown have, under each parent."""
+    both = whole.select(*parents, F.col("doc_count").alias("n")).union(shown.select(*parents, -F.col("doc_count")))
+    return both.groupBy(*parents).agg(F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("sum_other_doc_count"), F.lit(0).cast("bigint").alias("doc_count_error_upper_bound"))
+
+
+def _filled(out: DataFrame, grouped: DataFrame, own: dict) -> DataFrame:
+    """The columns of grouped, with counts and sums of buckets without rows as 0."""
     sums = [n for n, (k, _) in own.items() if k == "sum"] + [f"{n}.sum" for n, (k, _) in own.items() if k in ("stats", "extended_stats")]
     counts = ["doc_count"] + [n for n, (k, _) in own.items() if k in ("value_count", "cardinality")] + [f"{n}.count" for n, (k, _) in own.items() if k in ("stats", "extended_stats")]
     return out.select(*[F.coalesce(F.col(f"`{c}`"), F.lit(0).cast(grouped.schema[c].dataType)).alias(c) if c in sums + counts else F.col(f"`{c}`") for c in grouped.columns])
@@ -190,18 +212,26 @@ def _terms(index: Index, df: DataFrame, name: str, body: dict) -> Level:
                 hit = F.col(name).isin(given) if isinstance(given, list) else F.col(name).cast("string").rlike(f"^(?:{given})$")
             df = df.where(hit if keep else ~hit | F.col(name).isNull())
     order = _order(name, body.get("order"), [F.desc("doc_count"), F.asc(name)])
-    return Level(df, name, order=order, size=int(body.get("size", 10)), least=int(body.get("min_doc_count", 1)))
+    least, every = int(body.get("min_doc_count", 1)), None
+    if least == 0:
+        # terms of the whole table, whatever the query's rows
+        if index.whole is None or "missing" in body:
+            raise Refused("min_doc_count 0 is served at the top level, without missing")
+        every = _terms(replace(index, df=index.whole), index.whole, name, {**body, "min_doc_count": 1}).df
+        every = every.where(F.col(name).isNotNull())
+    return Level(df, name, order=order, size=int(body.get("size", 10)), least=least, every=every, other=True)
 
 
 def _multi_terms(index: Index, df: DataFrame, name: str, body: dict) -> Level:
     parts = []
     for t in body["terms"]:
-        parts.append(_keyed(index, t)[0].cast("string"))
+        # the separator inside a value is escaped, so different tuples have different keys
+        parts.append(F.regexp_replace(_keyed(index, t)[0].cast("string"), r"([|\\\\])", r"\\$1"))
     whole = F.lit(True)
     for p in parts:
         whole &= p.isNotNull()
     df = df.withColumn(name, F.when(whole, F.concat_ws("|", *parts)))
-    return Level(df, name, order=_order(name, body.get("order"), [F.desc("doc_count"), F.asc(name)]), size=int(body.get("size", 10)), least=int(body.get("min_doc_count", 1)))
+    return Level(df, name, order=_order(name, body.get("order"), [F.desc("doc_count"), F.asc(name)]), size=int(body.get("size", 10)), least=int(body.get("min_doc_count", 1)), other=True)
 
 
 def _gaps(step, scale: float | int, bounds: dict | None):
@@ -213,7 +243,9 @@ def _gaps(step, scale: float | int, bounds: dict | None):
         at = grouped.withColumn("__at", step(F.col(key)))
         ends = at.groupBy(*parents).agg(low.alias("low"), high.alias("high"))
         if bounds:
-            ends = ends.withColumn("low", F.least("low", step(F.lit(bounds["min"])))).withColumn("high", F.greatest("high", step(F.lit(bounds["max"]))))
+            for end, pick, name in (("low", F.least, "min"), ("high", F.greatest, "max")):
+                if bounds.get(name) is not None:
+                    ends = ends.withColumn(end, pick(end, step(F.lit(bounds[name]))))
         every = ends.where(F.col("low").isNotNull()).select(*parents, F.explode(F.sequence("low", "high")).alias("__at"))
         joined = every.join(at, [*parents, "__at"], "left")
         value = scale(F.col("__at")) if callable(scale) else F.col("__at") * F.lit(scale)
@@ -242,11 +274,21 @@ def _local(index: Index, body: dict) -> Column:
     millis = index.comparable(body["field"])[0]
     if "missing" in body:
         millis = F.coalesce(millis, F.lit(dates.interval(body["missing"])[0]))
-    zone = body.get("time_zone")
-    if zone:
-        at = F.timestamp_millis(millis)
-        millis = F.unix_millis(F.from_utc_timestamp(at, zone))
-    return millis - int(_offset(body.get("offset", 0)))
+    return _to_local(millis, body.get("time_zone")) - int(_offset(body.get("offset", 0)))
+
+
+def _to_local(millis: Column, zone: str | None) -> Column:
+    return F.unix_millis(F.from_utc_timestamp(F.timestamp_millis(millis), zone)) if zone else millis
+
+
+def _to_utc(millis: Column, zone: str | None) -> Column:
+    return F.unix_millis(F.to_utc_timestamp(F.timestamp_millis(millis), zone)) if zone else millis
+
+
+def _bounds(body: dict, name: str) -> dict | None:
+    """Bounds of a date histogram in milliseconds; they may be dates with math."""
+    given = body.get(name)
+    return {k: dates.interval(v, body.get("format"), body.get("time_zone"))[0] for k, v in given.items() if v is not None} if given else None
 
 
 def _offset(given) -> float:
@@ -288,8 +330,13 @@ def _date_histogram(index: Index, df: DataFrame, name: str, body: dict) -> Level
         back = lambda a: F.unix_date(F.make_date(F.floor(a * months / 12).cast("int"), (F.pmod(a * months, F.lit(12)) + 1).cast("int"), F.lit(1))).cast("bigint") * DAY + shift
     else:
         raise Refused(f"interval [{body.get('calendar_interval', body.get('interval'))}] isn't served")
-    df = df.withColumn(name, (key + shift).cast("bigint"))
-    fill = _gaps(step, back, body.get("extended_bounds")) if least == 0 else None
+    zone = body.get("time_zone")
+    # keys are instants; gaps are stepped in local time
+    df = df.withColumn(name, _to_utc((key + shift).cast("bigint"), zone))
+    if hard := _bounds(body, "hard_bounds"):
+        # buckets that begin at or after max, or before min, go
+        df = df.where(F.lit(True) if "min" not in hard else F.col(name) >= hard["min"]).where(F.lit(True) if "max" not in hard else F.col(name) < hard["max"])
+    fill = _gaps(lambda k: step(_to_local(k, zone)), lambda a: _to_utc(back(a).cast("bigint"), zone), _bounds(body, "extended_bounds")) if least == 0 else None
     return Level(df, name, order=_order(name, body.get("order"), [F.asc(name)]), least=least, fill=fill)
 
 
@@ -443,7 +490,7 @@ def composite(index: Index, df: DataFrame, name: str, body: dict) -> Level:
         elif kind == "date_histogram":
             column = _date_histogram(index, df, "__k", given | {"min_doc_count": 1}).df
             raise_key = F.floor(_local(index, given) / F.lit(int(_duration(given["fixed_interval"])))) * int(_duration(given["fixed_interval"])) if "fixed_interval" in given else _truncated(_local(index, given), CALENDAR[str(given["calendar_interval"])])
-            column = raise_key.cast("bigint")
+            column = _to_utc((raise_key + int(_offset(given.get("offset", 0)))).cast("bigint"), given.get("time_zone"))
         elif kind == "geotile_grid":
             column = space.tile(index.comparable(given["field"])[0], int(given.get("precision", 7)))
         else:

@@ -25,6 +25,10 @@ class Analyzer:
     def column(self, text: Column) -> Column:
         return tokens(F.coalesce(text, F.lit("")), self.tokenizer, self.lower, self.n)
 
+    def may_hold(self, text: Column, token: str) -> Column:
+        """Whether the characters of the token are in the text: needed for the token, and quick."""
+        return F.contains(F.lower(text) if self.lower else text, F.lit(token))
+
     def query(self, text: str) -> list[str]:
         return split_query(text, self.tokenizer, self.lower, self.n)
 
@@ -50,8 +54,8 @@ def analyzer_of(index: Index, name: str) -> Analyzer:
 def statistics(index: Index, name: str, terms: list[str]) -> Statistics:
     """One pass over the field's column. The result has a number for each term."""
     a = analyzer_of(index, name)
-    own = index.df.select(a.column(F.col(name)).alias("t"), F.col(name).isNotNull().alias("has"))
-    each = [F.count_if(F.array_contains("t", term)).alias(f"h{k}") for k, term in enumerate(terms)]
+    own = index.df.select(a.column(F.col(name)).alias("t"), F.col(name).isNotNull().alias("has"), F.array(*(a.may_hold(F.col(name), x) for x in terms)).alias("may"))
+    each = [F.count_if(F.col("may")[k] & F.array_contains("t", term)).alias(f"h{k}") for k, term in enumerate(terms)]
     r = own.agg(F.count_if("has").alias("rows"), F.avg(F.when(F.col("has"), F.size("t"))).alias("average"), *each).first()
     return Statistics(r["rows"], r["average"] or 1.0, {t: r[f"h{k}"] for k, t in enumerate(terms)})
 
@@ -82,8 +86,10 @@ def match(index: Index, name: str, text: str, operator: str = "OR", fuzzy=None,
     every = list(dict.fromkeys(x for g in groups.values() for x in g))
     s = statistics(index, name, every)
     own = a.column(F.col(name))
-    held = [reduce(lambda x, y: x | y, (F.array_contains(own, x) for x in g)) for g in groups.values()]
-    predicate = reduce((lambda x, y: x & y) if str(operator).upper() == "AND" else (lambda x, y: x | y), held)
+    both = (lambda x, y: x & y) if str(operator).upper() == "AND" else (lambda x, y: x | y)
+    # a text without a term's characters is not split at all
+    likely = reduce(both, (reduce(lambda x, y: x | y, (a.may_hold(F.col(name), x) for x in g)) for g in groups.values()))
+    predicate = likely & _bound(own, lambda t: reduce(both, (reduce(lambda x, y: x | y, (F.array_contains(t, x) for x in g)) for g in groups.values())))
     # the token array is bound once; each term's frequency is read from it
     score = _bound(own, lambda t: reduce(lambda x, y: x + y, (_bm25(_frequency(t, x), F.size(t), s.idf(x), s.average) for x in every)))
     return F.coalesce(predicate, F.lit(False)), score * F.lit(float(boost))
@@ -110,10 +116,15 @@ def phrase(index: Index, name: str, text: str, slop: int = 0, boost: float = 1.0
     idf = sum(s.idf(t) for t in terms)
 
     def starts(t: Column) -> Column:
-        places = F.filter(F.sequence(F.lit(1), F.greatest(F.size(t), F.lit(1))), lambda i: F.try_element_at(t, i) == terms[0])
+        # places of the first term
+        places = F.filter(F.transform(t, lambda x, i: F.when(x == F.lit(terms[0]), i + 1)), lambda i: i.isNotNull())
 
         def end(i: Column) -> Column:
             at = i
+            if not slop:
+                for term in terms[1:]:
+                    at = F.when(F.try_element_at(t, at + 1) == F.lit(term), at + 1)
+                return at
             for term in terms[1:]:
                 # the nearest later place; null if there is none
                 rest = F.array_position(F.slice(t, at + 1, F.size(t)), term)
@@ -123,7 +134,8 @@ def phrase(index: Index, name: str, text: str, slop: int = 0, boost: float = 1.0
         return F.size(F.filter(places, lambda i: F.coalesce(end(i) - i - (len(terms) - 1) <= slop, F.lit(False))))
 
     own = a.column(F.col(name))
-    frequency = _bound(own, starts)
+    likely = reduce(lambda x, y: x & y, (a.may_hold(F.col(name), x) for x in dict.fromkeys(terms)))
+    frequency = F.when(likely, _bound(own, starts))
     score = _bound(own, lambda t: _bm25(starts(t), F.size(t), idf, s.average))
     return F.coalesce(frequency > 0, F.lit(False)), score * F.lit(float(boost))
 

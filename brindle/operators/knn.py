@@ -62,6 +62,7 @@ def nearest(index: Index, knn: Knn) -> DataFrame:
         raise Refused(f"[{knn.field}] is not a vector")
     if knn.filter:
         _allowed(knn.filter)
+    check_dimension(index, knn)
     rows = index.df.where(translate(index, knn.filter).pred) if knn.filter else index.df
     rows = rows.where(column.isNotNull() & (F.size(column) == len(knn.vector)))
     scored = rows.withColumn("_distance", distance(column, knn.vector, knn.metric))
@@ -70,7 +71,7 @@ def nearest(index: Index, knn: Knn) -> DataFrame:
 
 
 def check_dimension(index: Index, knn: Knn) -> None:
-    """Refuse a query vector of another length than the table's first vector."""
+    """Refuse a query vector of another length than the table's first vector, which is all that is read."""
     first = index.df.select(F.size(knn.field).alias("n")).where(F.col(knn.field).isNotNull()).first()
     if first and first["n"] != len(knn.vector):
         raise Refused(f"[{knn.field}] has {first['n']} dimensions, the query {len(knn.vector)}")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -73,8 +75,11 @@ def columns(index: Index, kind: str, name: str, body: dict) -> list[Column]:
         return [F.max(p["lat"]).alias(f"{name}.top"), F.min(p["lon"]).alias(f"{name}.left"), F.min(p["lat"]).alias(f"{name}.bottom"), F.max(p["lon"]).alias(f"{name}.right")]
     if kind == "scripted_metric":
         # map: a value of each row; combine: an aggregate over it (column `value`), both Spark SQL
-        text = body["combine_script"]
-        return [F.expr(text.replace("value", f"({body['map_script']})")).alias(name)]
+        if extra := {"init_script", "reduce_script"} & body.keys():
+            raise Refused(f"scripted_metric with {sorted(extra)} isn't served")
+        # the name `value` alone, not words or columns that hold it
+        text = re.sub(r"(?<![\w.`'])value(?![\w`'(])", lambda _: f"({body['map_script']})", body["combine_script"])
+        return [F.expr(text).alias(name)]
     raise Refused(f"unknown metric [{kind}]")
 
 

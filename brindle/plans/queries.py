@@ -31,7 +31,7 @@ def register(name: str, table: str, body: dict, sql: str | None, path: str | Non
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         found = search(index(spark, sf_dir, table, overrides, change), body)
-        df = found.hits if path is None else found.total if path == "total" else found.aggregations[path]
+        df = found.hits if path is None else found.total if path == "total" else found.max_score if path == "max_score" else found.aggregations[path]
         out = [F.col(f"`{c}`").alias(n) for c, n in pick.items()] if pick else [F.col(f"`{c}`") for c in df.columns]
         df = df.select(*out)
         return df.select(*(F.round(f"`{c}`", 4).alias(c) if c in rounded else F.col(f"`{c}`") for c in df.columns))
@@ -361,5 +361,91 @@ def _slop(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["f_phrase_slop"], ORACLE_SQL["f_phrase_slop"] = _slop, f"SELECT DISTINCT a.doc_id FROM (SELECT doc_id, unnest({_TOKENS}) AS w, generate_subscripts({_TOKENS}, 1) AS p FROM documents) a JOIN (SELECT doc_id, unnest({_TOKENS}) AS w, generate_subscripts({_TOKENS}, 1) AS p FROM documents) b ON a.doc_id = b.doc_id AND a.w = 'by' AND b.w = 'from' AND b.p > a.p AND b.p - a.p - 1 <= 2"
 rows("f_wildcard_text", "documents", {"wildcard": {"text": {"value": "*MIT License*"}}}, "text LIKE '%MIT License%'")
-register("f_multi_match", "documents", {"query": {"multi_match": {"query": "idiot", "fields": ["text^2", "lang"]}}, "size": 10, "_source": ["doc_id"]}, None, None)
-register("f_fuzzy", "documents", {"query": {"match": {"text": {"query": "idoit", "fuzziness": 2, "prefix_length": 1}}}, "size": 10, "_source": ["doc_id"]}, None, None)
+text("f_multi_match", {"multi_match": {"query": "idiot", "fields": ["text^2", "lang"]}}, ["idiot"], _HAS("idiot"), "2 * (" + _bm25(["idiot"])[1] + ")", size=10)
+text("f_fts_bool", {"fts_bool": {"must": [{"match": {"text": "idiot"}}], "should": [{"match": {"text": "clown"}}], "must_not": [{"match": {"text": "worthless"}}]}}, ["idiot", "clown"], f"{_HAS('idiot')} AND NOT {_HAS('worthless')}")
+
+
+def _fuzzy(name: str, word: str, given: dict, distance: int, prefix: int) -> None:
+    """Every term within the distance counts: the 50 that are closest, then most frequent, and the word itself."""
+    near = f"levenshtein(w, '{word}') <= {distance} AND left(w, {prefix}) = '{word[:prefix]}'"
+    sql = f"""WITH d AS (SELECT doc_id, text, {_TOKENS} AS t FROM documents), s AS (SELECT count(text) AS n, avg(len(t)) FILTER (text IS NOT NULL) AS a FROM d),
+        x AS (SELECT w FROM (SELECT unnest(list_distinct(t)) AS w FROM d) WHERE {near} GROUP BY w ORDER BY levenshtein(w, '{word}'), count(*) DESC, w LIMIT 50),
+        terms AS (SELECT w FROM x UNION SELECT '{word}'),
+        f AS (SELECT doc_id, w, len(any_value(t)) AS l, count(*) AS f FROM (SELECT doc_id, t, unnest(t) AS w FROM d) SEMI JOIN terms USING (w) GROUP BY 1, 2),
+        h AS (SELECT w, count(*) AS h FROM f GROUP BY 1)
+        SELECT doc_id, round(sum(ln(1 + (n - h + 0.5) / (h + 0.5)) * (f * 2.2) / (f + 1.2 * (0.25 + 0.75 * l / a))), 4) AS score FROM f JOIN h USING (w), s GROUP BY 1"""
+    register(name, "documents", {"query": {"match": {"text": {"query": word, **given}}}, "size": 5000, "_source": ["doc_id"]}, sql, None, {"doc_id": "doc_id", "_score": "score"}, rounded=("score",))
+
+
+_fuzzy("f_fuzzy", "idoit", {"fuzziness": 2, "prefix_length": 1}, 2, 1)
+_fuzzy("f_fuzzy_auto", "clwn", {"fuzziness": "AUTO", "prefix_length": 2}, 1, 2)
+
+
+def _tokenised(name: str, given: dict, query: str, tokens: str) -> None:
+    sql = f"WITH d AS (SELECT doc_id, {tokens} AS t FROM documents), s AS (SELECT count(*) AS n, avg(len(t)) AS a, count(*) FILTER (list_contains(t, '{query}')) AS h FROM d) SELECT doc_id, round(ln(1 + (n - h + 0.5) / (h + 0.5)) * (f * 2.2) / (f + 1.2 * (0.25 + 0.75 * l / a)), 4) AS score FROM (SELECT doc_id, len(t) AS l, len(list_filter(t, lambda w: w = '{query}')) AS f FROM d) , s WHERE f > 0"
+    register(name, "documents", {"query": {"match": {"text": query}}, "size": 5000, "_source": ["doc_id"]}, sql, None, {"doc_id": "doc_id", "_score": "score"}, overrides={"text": {"type": "text", **given}}, rounded=("score",))
+
+
+_tokenised("f_tokens_whitespace", {"tokenizer": "whitespace"}, "License.", "list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '')")
+_tokenised("f_tokens_raw", {"tokenizer": "raw"}, "the", "[text]")
+_tokenised("f_tokens_ngram", {"tokenizer": "ngram", "n": 5, "lower": True}, "idiot", "[substring(lower(text), i, 5) for i in range(1, len(text) - 3)]")
+
+# ---------------------------------------------------------------- scores
+
+
+def scores(name: str, table: str, query: dict, score: str, where: str = "true", size: int = 40) -> None:
+    key = KEYS[table]
+    register(name, table, {"query": query, "size": size, "_source": [key]}, f"SELECT {key}, {key}::varchar AS id, round({score}, 4) AS score FROM {table} WHERE {where} ORDER BY {score} DESC, {key} LIMIT {size}", None, {key: key, "_id": "id", "_score": "score"}, rounded=("score",))
+
+
+_P, _H = "(o_orderstatus = 'P')::int", "(o_orderpriority = '2-HIGH')::int"
+scores("q_constant_score_score", "orders", {"constant_score": {"filter": {"term": {"o_orderstatus": "P"}}, "boost": 2}}, "2.0::double", "o_orderstatus = 'P'")
+scores("q_dis_max_score", "orders", {"dis_max": {"queries": [{"term": {"o_orderstatus": {"value": "P", "boost": 2}}}, {"term": {"o_orderpriority": "2-HIGH"}}], "tie_breaker": 0.5}}, f"(greatest(2 * {_P}, {_H}) + 0.5 * least(2 * {_P}, {_H}))::double", "o_orderstatus = 'P' OR o_orderpriority = '2-HIGH'", 3000)
+scores("q_boosting_score", "orders", {"boosting": {"positive": {"term": {"o_orderstatus": "P"}}, "negative": {"term": {"o_orderpriority": "2-HIGH"}}, "negative_boost": 0.2}}, "CASE WHEN o_orderpriority = '2-HIGH' THEN 0.2 ELSE 1.0 END::double", "o_orderstatus = 'P'", 3000)
+scores("q_function_score_decay", "orders", {"function_score": {"gauss": {"o_totalprice": {"origin": 100000, "scale": 50000, "offset": 1000, "decay": 0.4}}}}, "exp(pow(greatest(0, abs(o_totalprice - 100000) - 1000), 2) * ln(0.4) / 2500000000.0)", size=3000)
+scores("q_function_score_dates", "orders", {"function_score": {"exp": {"o_orderdate": {"origin": "1997-01-01", "scale": "30d"}}}}, "exp(abs(epoch_ms(o_orderdate) - 852076800000) * ln(0.5) / 2592000000.0)", size=3000)
+scores("q_function_score_modes", "orders", {"function_score": {"functions": [{"filter": {"term": {"o_orderstatus": "P"}}, "weight": 3}, {"filter": {"term": {"o_orderpriority": "2-HIGH"}}, "weight": 5}], "score_mode": "sum", "boost_mode": "replace", "max_boost": 7}}, f"least(7.0, CASE WHEN {_P} + {_H} = 0 THEN 1 ELSE 3 * {_P} + 5 * {_H} END)::double", size=3000)
+scores("q_script_score", "orders", {"script_score": {"query": {"term": {"o_orderstatus": "F"}}, "script": {"source": "o_totalprice / :x", "params": {"x": 1000}}}}, "o_totalprice / 1000", "o_orderstatus = 'F'")
+register("h_max_score", "orders", {"query": {"bool": {"should": [{"term": {"o_orderstatus": {"value": "P", "boost": 2}}}, {"term": {"o_orderpriority": "2-HIGH"}}]}}}, f"SELECT max(2 * {_P} + {_H})::double AS max_score FROM orders", "max_score")
+_HAMMING = f"list_sum([(embedding[i] <> ({_LITERAL})[i])::int for i in range(1, 65)])"
+near("v_knn_hamming", {"k": 10, "metric": "hamming"}, f"SELECT vec_id, round(1 / (1 + {_HAMMING}), 4) AS score FROM embeddings ORDER BY {_HAMMING}, vec_id LIMIT 10")
+
+# ---------------------------------------------------------------- more buckets
+
+_DAY = 86_400_000
+buckets("b_date_histogram_zone", "events", {"d": {"date_histogram": {"field": "ts", "calendar_interval": "day", "time_zone": "Europe/Berlin"}}}, "d", f"WITH g AS (SELECT (epoch_ms(ts) + 3600000) // {_DAY} AS o, count(*) AS n FROM events GROUP BY 1), e AS (SELECT unnest(range(min(o), max(o) + 1)) AS o FROM g) SELECT o * {_DAY} - 3600000 AS d, coalesce(n, 0) AS doc_count FROM e LEFT JOIN g USING (o)")
+buckets("b_date_histogram_hard_bounds", "events", {"d": {"date_histogram": {"field": "ts", "calendar_interval": "day", "hard_bounds": {"min": "2024-01-05", "max": "2024-01-08"}}}}, "d", "SELECT epoch_ms(date_trunc('day', ts)) AS d, count(*) AS doc_count FROM events WHERE ts >= '2024-01-05' AND ts < '2024-01-08' GROUP BY 1")
+buckets("b_date_histogram_extended", "events", {"d": {"date_histogram": {"field": "ts", "calendar_interval": "day", "extended_bounds": {"min": "2023-12-28", "max": "2024-02-03||+1d"}}}}, "d", "SELECT epoch_ms(d) AS d, count(event_id) AS doc_count FROM (SELECT unnest(generate_series('2023-12-28'::timestamp, '2024-02-04'::timestamp, INTERVAL 1 DAY)) AS d) LEFT JOIN events ON date_trunc('day', ts) = d GROUP BY 1")
+buckets("b_terms_other", "orders", {"c": {"terms": {"field": "o_custkey", "size": 7}}}, "c:other", "SELECT (sum(n) - sum(n) FILTER (r <= 7))::bigint AS sum_other_doc_count, 0::bigint AS doc_count_error_upper_bound FROM (SELECT count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, o_custkey) AS r FROM orders GROUP BY o_custkey)")
+buckets("b_terms_other_under_terms", "lineitem", {"f": {"terms": {"field": "l_returnflag"}, "aggs": {"n": {"terms": {"field": "l_linenumber", "size": 2}}}}}, "f>n:other", "SELECT f, (sum(n) - sum(n) FILTER (r <= 2))::bigint AS sum_other_doc_count, 0::bigint AS doc_count_error_upper_bound FROM (SELECT l_returnflag AS f, count(*) AS n, row_number() OVER (PARTITION BY l_returnflag ORDER BY count(*) DESC, l_linenumber) AS r FROM lineitem GROUP BY l_returnflag, l_linenumber) GROUP BY 1")
+buckets("b_terms_min_zero", "orders", {"p": {"terms": {"field": "o_orderpriority", "min_doc_count": 0}, "aggs": {"s": {"sum": {"field": "o_totalprice"}}}}}, "p", "SELECT o_orderpriority AS p, count(*) FILTER (o_orderkey = 5) AS doc_count, round(coalesce(sum(o_totalprice) FILTER (o_orderkey = 5), 0), 4) AS s FROM orders GROUP BY 1", ("s",), query={"ids": {"values": [5]}})
+buckets("b_filter_under_terms_empty", "orders", {"p": {"terms": {"field": "o_orderpriority"}, "aggs": {"f": {"filter": {"term": {"o_orderpriority": "2-HIGH"}}, "aggs": {"s": {"sum": {"field": "o_totalprice"}}}}}}}, "p>f", "SELECT o_orderpriority AS p, count(*) FILTER (o_orderpriority = '2-HIGH') AS doc_count, round(coalesce(sum(o_totalprice) FILTER (o_orderpriority = '2-HIGH'), 0), 4) AS s FROM orders GROUP BY 1", ("s",))
+buckets("b_missing_under_terms", "customer", {"n": {"terms": {"field": "c_nationkey", "size": 30}, "aggs": {"m": {"missing": {"field": "c_acctbal"}}}}}, "n>m", f"SELECT c_nationkey AS n, count(*) FILTER (c_acctbal IS NULL) AS doc_count FROM {NULLED_SQL} GROUP BY 1", change=NULLED)
+buckets("b_multi_terms_separator", "part", {"k": {"multi_terms": {"terms": [{"field": "a"}, {"field": "b"}], "size": 50}}}, "k", "SELECT replace(p_brand || '|' || p_type, '|', '\\|') || '|' || replace(p_type || '|', '|', '\\|') AS k, count(*) AS doc_count FROM part GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 50", change=lambda df: df.withColumn("a", F.concat_ws("|", "p_brand", "p_type")).withColumn("b", F.concat("p_type", F.lit("|"))))
+
+
+def _missing_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
+    body = {"sources": [{"s": {"terms": {"field": "c_mktsegment", "missing_bucket": True}}}, {"h": {"histogram": {"field": "c_acctbal", "interval": 2000}}}], "size": 9}
+    return search(index(spark, sf_dir, "customer", change=NULLED), {"size": 0, "aggs": {"c": {"composite": body}}}).aggregations["c"].select("c.*", "doc_count")
+
+
+QUERIES["b_composite_missing_bucket"], ORACLE_SQL["b_composite_missing_bucket"] = _missing_bucket, f"SELECT c_mktsegment AS s, floor(c_acctbal / 2000) * 2000 AS h, count(*) AS doc_count FROM {NULLED_SQL} WHERE c_acctbal IS NOT NULL GROUP BY 1, 2 ORDER BY 1 NULLS FIRST, 2 LIMIT 9"
+
+# ---------------------------------------------------------------- the catalog
+
+
+def _several_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Catalog(spark).get(index(spark, sf_dir, "orders"), [42, 7, 7, -1]).select("o_orderkey", "o_totalprice")
+
+
+def _pinned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    catalog = Catalog(spark)
+    catalog.commit("t", 1, f"{sf_dir}/customer.parquet")
+    catalog.commit("t", 2, f"{sf_dir}/supplier.parquet", tag="now")
+    by_version, by_tag = catalog.attach("old", "t", version=1).df, catalog.attach("new", "t", tag="now").df
+    count = lambda df, name: df.agg(F.lit(name).alias("name"), F.count(F.lit(1)).alias("n"))
+    return count(by_version, "old").union(count(by_tag, "new")).union(count(catalog.refs("t"), "refs"))
+
+
+QUERIES["s_multi_get"], ORACLE_SQL["s_multi_get"] = _several_keys, "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey IN (42, 7)"
+QUERIES["s_pinned_versions"], ORACLE_SQL["s_pinned_versions"] = _pinned, "SELECT 'old' AS name, count(*) AS n FROM customer UNION ALL SELECT 'new', count(*) FROM supplier UNION ALL SELECT 'refs', 3"

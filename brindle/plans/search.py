@@ -21,10 +21,14 @@ class Result:
     hits: DataFrame | None
     total: DataFrame
     aggregations: dict[str, DataFrame] = field(default_factory=dict)
+    max_score: DataFrame | None = None
 
 
 def search(index: Index, body: dict) -> Result:
-    """Run a body over an index. hits has the sort values as _sort_0, ..., _score, and the columns of _source."""
+    """Run a body over an index. hits has _id (the primary key as text, if there is one), _score, the sort values as _sort_0, ..., and the columns of _source. max_score has one row: null if a sort leaves scores out and track_scores isn't set."""
+    for k in ("explain", "profile", "version", "timeout"):
+        if body.get(k):
+            raise Refused(f"[{k}] isn't served")
     for k in body:
         if k in ("suggest", "highlight"):
             raise Refused(f"[{k}] isn't served")
@@ -52,10 +56,12 @@ def search(index: Index, body: dict) -> Result:
     if "min_score" in body:
         rows = rows.where(F.col("_score") >= float(body["min_score"]))
     aggs = body.get("aggs") or body.get("aggregations")
-    tables = aggregate.aggregate(replace(index, df=rows), rows, aggs) if aggs else {}
+    tables = aggregate.aggregate(replace(index, df=rows, whole=index.df), rows, aggs) if aggs else {}
     page = rows.where(translate(index, body["post_filter"]).pred) if body.get("post_filter") else rows
     total = hits.total(page, body.get("track_total_hits"))
-    return Result(_page(index, page, body), total, tables)
+    scored = not body.get("sort") or body.get("track_scores") or any(s == "_score" or isinstance(s, dict) and "_score" in s for s in (body["sort"] if isinstance(body["sort"], list) else [body["sort"]]))
+    best = page.agg(F.max(F.col("_score") if scored else F.lit(None).cast("double")).alias("max_score"))
+    return Result(_page(index, page, body), total, tables, best)
 
 
 def _page(index: Index, rows: DataFrame, body: dict) -> DataFrame | None:
@@ -89,7 +95,7 @@ def _page(index: Index, rows: DataFrame, body: dict) -> DataFrame | None:
         rows = rows.withColumn(f"_sort_{k}", column)
     page = rows.orderBy(*order)
     page = page.offset(start).limit(size) if start else page.limit(size)
-    columns = hits.source_columns(index, body.get("_source"))
+    columns = [] if body.get("stored_fields") == "_none_" else hits.source_columns(index, body.get("_source"))
     extra = [F.expr(s["script"]["source"] if isinstance(s["script"], dict) else s["script"]).alias(n) for n, s in body.get("script_fields", {}).items()]
     for f in [*body.get("fields", []), *body.get("docvalue_fields", [])]:
         name, form = (f, None) if isinstance(f, str) else (f["field"], f.get("format"))
@@ -102,7 +108,8 @@ def _page(index: Index, rows: DataFrame, body: dict) -> DataFrame | None:
         shown = [F.col(c) for c in columns]
         return members.join(F.broadcast(kept), key.eqNullSafe(F.col("__key"))).select("_rank", "_score", *shown)
     sorted_by = [f"_sort_{k}" for k in range(len(sorts))]
-    return page.select("_score", *sorted_by, *(F.col(c) if c in index.df.columns else F.col(c).alias(c) for c in columns), *extra)
+    ids = [F.col(index.key).cast("string").alias("_id")] if index.key and "_id" not in index.df.columns else []
+    return page.select(*ids, "_score", *sorted_by, *(F.col(c) if c in index.df.columns else F.col(c).alias(c) for c in columns), *extra)
 
 
 def _hybrid(query: dict | None):
@@ -152,7 +159,7 @@ def search_all(indexes: list[Index], body: dict) -> Result:
 
 
 def explain(index: Index, body: dict) -> dict[str, str]:
-    """The plans of a body's parts, without running it; a request that is refused says why."""
+    """The plans of a body's parts, without running it but for the small passes that scoring needs; a request that is refused says why."""
     try:
         found = search(index, body)
     except Refused as e:

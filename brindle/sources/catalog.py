@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import os
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +26,8 @@ class Index:
     keys: tuple[str, ...] = ()
     overrides: dict = field(default_factory=dict)
     renamed: dict = field(default_factory=dict)
+    #: The table where df is a query's rows.
+    whole: DataFrame | None = None
 
     def __post_init__(self):
         columns = set(self.df.columns)
@@ -107,13 +109,14 @@ class Catalog:
     """Names of indexes over one session. A version is a path; tags name versions."""
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.indexes, self.versions, self.tags, self.paths = spark, {}, {}, {}, {}
+        self.spark, self.indexes, self.versions, self.tags, self.paths, self.readers = spark, {}, {}, {}, {}, {}
 
     def attach(self, name: str, table: str | DataFrame, key: str | None = None, keys: tuple[str, ...] | None = None, overrides: dict | None = None, version: int | None = None, tag: str | None = None, options: dict | None = None, renamed: dict | None = None) -> Index:
         """Register a parquet path (or a DataFrame). options go to the reader; version or tag pins a registered path."""
         if version is not None and tag is not None:
             raise Refused("a version and a tag can't both be pinned")
         if isinstance(table, str):
+            self.readers[name] = (table, key, keys, overrides, version, tag, options, renamed)
             path = table
             if tag is not None:
                 version = self.tags.get((table, tag))
@@ -150,10 +153,10 @@ class Catalog:
         return found
 
     def refresh(self, name: str) -> Index:
-        """Read the table's files and schema again."""
-        if name in self.paths:
+        """Read the table's files and schema again, with the options it was attached with: a pinned version stays, a tag is followed."""
+        if name in self.readers:
             self.spark.catalog.refreshByPath(self.paths[name])
-            self.indexes[name] = replace(self.indexes[name], df=self.spark.read.parquet(self.paths[name]))
+            self.attach(name, *self.readers[name])
         return self.indexes[name]
 
     def stats(self) -> DataFrame:
@@ -162,7 +165,7 @@ class Catalog:
         return self.spark.createDataFrame(rows, "name string, columns int, files int")
 
     def get(self, index: Index, value) -> DataFrame:
-        """The row with this key, or none."""
+        """The row with this key, or none; of a list of keys, all their rows."""
         if not index.key:
             raise Refused(f"[{index.name}] has no primary key")
-        return index.df.where(F.col(index.key) == F.lit(value))
+        return index.df.where(F.col(index.key).isin(list(value)) if isinstance(value, (list, tuple, set)) else F.col(index.key) == F.lit(value))

@@ -126,7 +126,54 @@ def test_month_in_a_time_zone(spark):
     df = spark.createDataFrame([(0, datetime(2024, 1, 31, 23, 30))], "id int, ts timestamp_ntz")
     index = Index("z", df, "id", ("id",))
     out = search(index, {"size": 0, "aggs": {"m": {"date_histogram": {"field": "ts", "calendar_interval": "month", "time_zone": "Europe/Berlin"}}}}).aggregations["m"]
-    assert out.first()["m"] == dates.interval("2024-02-01")[0]
+    assert out.first()["m"] == dates.interval("2024-02-01", time_zone="Europe/Berlin")[0]
+
+
+def test_days_over_a_change_of_clocks(spark):
+    # 2024-03-31 has 23 hours in Berlin; days without rows are there too, and keys are instants
+    df = spark.createDataFrame([(0, datetime(2024, 3, 30, 12)), (1, datetime(2024, 3, 31, 22, 30)), (2, datetime(2024, 4, 2, 1))], "id int, ts timestamp_ntz")
+    body = {"field": "ts", "calendar_interval": "day", "time_zone": "Europe/Berlin"}
+    run = lambda more: [(r["d"], r["doc_count"]) for r in search(Index("z", df, "id", ("id",)), {"size": 0, "aggs": {"d": {"date_histogram": body | more}}}).aggregations["d"].orderBy("d").collect()]
+    day = lambda x: dates.interval(x, time_zone="Europe/Berlin")[0]
+    assert run({}) == [(day("2024-03-30"), 1), (day("2024-03-31"), 0), (day("2024-04-01"), 1), (day("2024-04-02"), 1)]
+    assert run({"hard_bounds": {"min": "2024-03-31", "max": "2024-04-02"}}) == [(day("2024-04-01"), 1)]
+    assert run({"extended_bounds": {"min": "2024-03-29", "max": "2024-04-03"}})[0] == (day("2024-03-29"), 0)
+
+
+def test_buckets_that_are_not_shown(hint):
+    out = search(hint, {"size": 0, "query": {"range": {"id": {"lt": 9}}}, "aggs": {"c": {"terms": {"field": "category", "size": 1}, "aggs": {"t": {"terms": {"field": "flag", "size": 1}}, "none": {"filter": {"range": {"id": {"gte": 7}}}}, "gone": {"missing": {"field": "rating"}}}}}}).aggregations
+    shown = {r["c"]: r["doc_count"] for r in out["c"].collect()}
+    every = {c: sum(i % 3 == int(c[1]) and i % 4 != 3 for i in range(9)) for c in ("c0", "c1", "c2")}
+    assert len(shown) == 1 and out["c:other"].first()["sum_other_doc_count"] == sum(every.values()) - sum(shown.values()) and out["c:other"].first()["doc_count_error_upper_bound"] == 0
+    assert out["c>t:other"].count() == 1
+    # parents without a row in a bucket have it empty
+    assert out["c>none"].count() == 1 and out["c>gone"].count() == 1
+    many = search(hint, {"size": 0, "query": {"ids": {"values": [0]}}, "aggs": {"c": {"terms": {"field": "category", "min_doc_count": 0}}}}).aggregations["c"]
+    assert {r["c"]: r["doc_count"] for r in many.collect()} == {"c0": 1, "c1": 0, "c2": 0}
+
+
+def test_hits_have_ids_and_a_maximal_score(hint):
+    out = search(hint, {"query": {"constant_score": {"filter": {"range": {"id": {"gte": 3, "lt": 5}}}, "boost": 2.5}}})
+    assert sorted(r["_id"] for r in out.hits.collect()) == ["3", "4"] and out.max_score.first()["max_score"] == 2.5
+    assert search(hint, {"sort": ["id"]}).max_score.first()["max_score"] is None
+    assert search(hint, {"stored_fields": "_none_"}).hits.columns == ["_id", "_score", "_sort_0"]
+    for k in ("explain", "profile", "version", "timeout"):
+        with pytest.raises(Refused):
+            search(hint, {k: "1s" if k == "timeout" else True})
+
+
+def test_keys_with_the_separator(spark):
+    df = spark.createDataFrame([(0, "a|b", "c", 1), (1, "a", "b|c", 1), (2, "a\\\\", "b", 2)], "id int, x string, y string, event_value int")
+    index = Index("m", df, "id", ("id",))
+    out = search(index, {"size": 0, "aggs": {"k": {"multi_terms": {"terms": [{"field": "x"}, {"field": "y"}]}}, "s": {"scripted_metric": {"map_script": "event_value * 2", "combine_script": "sum(value) + max(event_value)"}}}})
+    assert out.aggregations["k"].count() == 3 and out.aggregations[""].first()["s"] == 10
+
+
+def test_vectors_of_another_length_are_refused(spark):
+    index = Index("v", spark.createDataFrame([(0, [1.0, 2.0])], "id int, v array<float>"), "id", ("id",))
+    with pytest.raises(Refused):
+        search(index, {"knn": {"field": "v", "vector": [1.0], "k": 1}})
+    assert search(index, {"knn": {"field": "v", "vector": [1.0, 3.0], "k": 1, "metric": "hamming"}}).hits.first()["_score"] == 0.5
 
 
 def test_paging_covers_everything_once(hint):
@@ -169,6 +216,10 @@ def test_catalog(spark, tmp_path):
         catalog.attach("three", "t", version=3)
     assert catalog.refs("t").count() == 4 and catalog.stats().count() > 3
     assert catalog.refresh("orders").df.count() == orders.df.count()
+    # a tag is followed, a pinned version stays
+    catalog.commit("t", 1, f"{tmp_path}/1", tag="v2")
+    assert catalog.refresh("two").df.count() == 1 and catalog.refresh("one").df.count() == 1
+    assert sorted(r["o_orderkey"] for r in catalog.get(orders, [3, 5, -1]).collect()) == [3, 5]
 
 
 def test_filters_and_columns_reach_the_scan(spark):
