@@ -156,8 +156,8 @@ def _with_fixed(grouped: DataFrame, level: Level, parents: tuple[str, ...], kept
 
 def _other(whole: DataFrame, shown: DataFrame, parents: tuple[str, ...]) -> DataFrame:
     """How many rows the buckets that aren't shown have, under each parent."""
-    both = whole.select(*parents, F.col("doc_count").alias("n")).union(shown.select(*parents, -F.col("doc_count")))
-    return both.groupBy(*parents).agg(F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("sum_other_doc_count"), F.lit(0).cast("bigint").alias("doc_count_error_upper_bound"))
+    both = whole.select(*parents, F.col("doc_count").alias("__n")).union(shown.select(*parents, -F.col("doc_count")))
+    return both.groupBy(*parents).agg(F.coalesce(F.sum("__n"), F.lit(0)).cast("bigint").alias("sum_other_doc_count"), F.lit(0).cast("bigint").alias("doc_count_error_upper_bound"))
 
 
 def _filled(out: DataFrame, grouped: DataFrame, own: dict) -> DataFrame:
