@@ -1,5 +1,6 @@
 """Each operator against brute force, an exact round trip or held-out accuracy, and on the edge cases."""
 
+import cProfile
 import collections
 import hashlib
 import math
@@ -170,6 +171,40 @@ def test_scores_with_blocks_added_up(spark, monkeypatch):
         assert x[-1] == 1 if copies else x[-1] < 1
 
 
+def test_scoring_does_not_grow_with_shards(spark, monkeypatch):
+    docs = [(i, prose(i // 2, 60 + i)) for i in range(80)] + [(90, None), (91, ""), (92, "The the THE"), (93, "never seen " * 3)]
+    trained = table(spark, docs).where("doc_id < 92")
+    texts, held = pa.array([t for _, t in docs]), np.array([i > 91 for i, _ in docs])
+    few, many = (ngram_trie.train(trained, Scratch(spark, "ngrams"), bytes_in_shard=n) for n in (1 << 20, 40))
+    assert few.shards == 4 and many.shards > 600 and (few.words, few.tokens) == (many.words, many.tokens)
+    calls, found = [], []
+    for sizes in (few, many):
+        scorer = ngram_trie.Scorer(sizes)
+        scorer.score(texts, held)
+        # all files stay mapped, and a piece's questions are answered together whatever their shards
+        with monkeypatch.context() as m:
+            m.setattr(ngram_trie, "open", None, raising=False)
+            profile = cProfile.Profile()
+            found.append(profile.runcall(scorer.score, texts, held))
+        calls.append(sum(x.callcount for x in profile.getstats()))
+    assert calls[1] < 2 * calls[0], calls
+    # groups and blocks of questions change nothing; nor do those that are closed again
+    for name, n in (("GROUP", 64), ("MAPPED", 2), ("BLOCK", 50)):
+        monkeypatch.setattr(ngram_trie, name, n)
+    monkeypatch.setattr(ngram_trie, "_opened", {})
+    found.append(ngram_trie.Scorer(many).score(texts, held))
+    for k, wanted in found[0].items():
+        assert all(np.allclose(wanted, x[k], rtol=0, atol=1e-12) for x in found[1:]), k
+
+
+def test_coded_blocks():
+    rng = np.random.default_rng(0)
+    for x, width in ((np.zeros(0, np.int64), 3), (rng.integers(0, 1 << 24, 5000), 3), (rng.integers(0, 1 << 62, 100), 8), (np.arange(7, dtype=np.uint32), 4)):
+        assert (ngram_trie._decoded(pa.py_buffer(ngram_trie._coded(x, width)), width) == x).all()
+    x = np.sort(rng.integers(0, 2**64, 1000, dtype=np.uint64))
+    assert (np.cumsum(ngram_trie._decoded(pa.py_buffer(ngram_trie._coded(ngram_trie._differences(x), 8)), 8).view(np.uint64)) == x).all()
+
+
 def test_scores_edges(spark, edges, nothing):
     out = ngram_trie.score(edges).collect()
     assert len(out) == edges.count() and all(math.isfinite(r["score"]) and r["score"] <= 1e-9 for r in out)
