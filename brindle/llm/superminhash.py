@@ -124,8 +124,9 @@ class Sets:
 SKETCH = "row bigint, id bigint, text_hash bigint, n bigint, low bigint, high bigint, bands array<bigint>, part bigint, file string"
 
 
-def sketch(docs: DataFrame, folder: str, words: int, id: str, text: str) -> DataFrame:
+def sketch(docs: DataFrame, scratch: Scratch, words: int, id: str, text: str) -> DataFrame:
     """A row for each document: its row number (which says where its set lies), size, 128-bit digest of the set, and band keys."""
+    folder = scratch.folder("sets")
 
     def run(batches):
         part = TaskContext.get().partitionId()
@@ -163,7 +164,7 @@ def sketch(docs: DataFrame, folder: str, words: int, id: str, text: str) -> Data
                         names=["row", "id", "text_hash", "n", "low", "high", "bands", "part", "file"],
                     )
 
-    return docs.select(F.col(id).cast("bigint").alias("id"), F.xxhash64(text).alias("text_hash"), F.col(text).cast("string").alias("text")).mapInArrow(releasing(run), SKETCH)
+    return scratch.written(docs.select(F.col(id).cast("bigint").alias("id"), F.xxhash64(text).alias("text_hash"), F.col(text).cast("string").alias("text")), "sketch", run, SKETCH)
 
 
 # ---------------------------------------------------------------- union-find
@@ -222,7 +223,7 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     which is a shuffle of (node, node) rows, until nothing changes. The number of rounds grows
     as the logarithm of the nodes. The edges of a round are a written table.
     """
-    current, last = scratch.table(_contract(edges).distinct(), f"{name}-0"), None
+    current, last = scratch.written(_contract(edges).distinct(), f"{name}-0"), None
     for k in range(1, 60):
         both = current.union(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
@@ -230,7 +231,7 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
         large = large.where("a <> b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
-        current = scratch.table(small.where("a <> b").distinct(), f"{name}-{k}")
+        current = scratch.written(small.where("a <> b").distinct(), f"{name}-{k}")
         state = current.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if k > 1:
             scratch.drop(f"{name}-{k - 2}")
@@ -245,7 +246,7 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
 # ---------------------------------------------------------------- links
 
 
-def _verified(pairs: DataFrame, files: dict[int, str], percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, scratch: Scratch, files: dict[int, str], percent: int) -> DataFrame:
     """The pairs (a, b) of rows that are linked."""
 
     def run(batches):
@@ -255,10 +256,10 @@ def _verified(pairs: DataFrame, files: dict[int, str], percent: int) -> DataFram
             keep = [sets.linked(x, y, percent) for x, y in zip(a, b)]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return pairs.mapInArrow(releasing(run), "a bigint, b bigint")
+    return scratch.written(pairs, "stars", run, "a bigint, b bigint")
 
 
-def _cross(blocks: DataFrame, files: dict[int, str], percent: int, work: int = 64) -> DataFrame:
+def _cross(blocks: DataFrame, scratch: Scratch, files: dict[int, str], percent: int, work: int = 64) -> DataFrame:
     """Edges between members of a bucket that lie in different components so far. blocks comes sorted by (key, i, j); side: 0 in block i, 1 in block j, 2 if i = j."""
 
     def group(sets: Sets, rows, roots, sides, band):
@@ -317,7 +318,7 @@ def _cross(blocks: DataFrame, files: dict[int, str], percent: int, work: int = 6
         if held:
             yield flush(pa.Table.from_batches(held))
 
-    return blocks.mapInArrow(releasing(run), "a bigint, b bigint")
+    return scratch.written(blocks, "cross", run, "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id: str = "doc_id", text: str = "text", block: int = 256) -> DataFrame:
@@ -337,20 +338,20 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id: str
     of about `block` members, each pair in the first band that it shares. Nothing is capped.
     """
     scratch = Scratch(docs.sparkSession, "near")
-    rows = scratch.table(sketch(docs, scratch.folder("sets"), words, id, text), "sketch")
+    rows = sketch(docs, scratch, words, id, text)
     files = {r["part"]: r["file"] for r in rows.groupBy("part", "file").count().collect()}
     filled = rows.where("n > 0")
-    classes = scratch.table(filled.groupBy("low", "high").agg(F.min("row").alias("row"), F.min("id").alias("least"), F.count(F.lit(1)).alias("copies")), "classes")
+    classes = scratch.written(filled.groupBy("low", "high").agg(F.min("row").alias("row"), F.min("id").alias("least"), F.count(F.lit(1)).alias("copies")), "classes")
     bands = filled.join(classes.select("row"), "row", "left_semi").select("row", F.posexplode("bands").alias("band", "key"))
     shared = bands.groupBy("key").agg(F.min("row").alias("leader"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    members = scratch.table(bands.join(shared, "key"), "members")
+    members = scratch.written(bands.join(shared, "key"), "members")
     stars = members.where("row <> leader").select(F.col("row").alias("a"), F.col("leader").alias("b")).distinct()
-    stars = scratch.table(_verified(stars, files, percent), "stars")
+    stars = _verified(stars, scratch, files, percent)
     labels = components(stars, scratch, "stars-components")
     # buckets of two are done; others may hold links beside the leader's
     rest = members.where("size > 2").join(labels.withColumnRenamed("node", "row"), "row", "left").withColumn("root", F.coalesce("root", "row"))
     mixed = rest.groupBy("key").agg(F.min(F.struct("row", "root"))["root"].alias("main"), (F.min("root") < F.max("root")).alias("mixed")).where("mixed").select("key", "main")
-    rest = scratch.table(rest.join(mixed, "key").withColumn("outside", F.col("root") != F.col("main")), "mixed")
+    rest = scratch.written(rest.join(mixed, "key").withColumn("outside", F.col("root") != F.col("main")), "mixed")
     # members outside the leader's component, in blocks of their own, meet all blocks; the others meet only those
     blocks = rest.groupBy("key").agg(F.ceil(F.count_if("outside") / block).cast("int").alias("out"), F.ceil(F.count_if(~F.col("outside")) / block).cast("int").alias("in"))
     mine = F.when(F.col("outside"), F.pmod(F.xxhash64("row"), "out")).otherwise(F.col("out") + F.pmod(F.xxhash64("row"), "in")).cast("int")
@@ -362,13 +363,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id: str
     # a cell is at most block * block comparisons in Python, so tasks are made by cells, not by bytes
     cells = blocks.agg(F.sum(F.col("out") * (F.col("out") + 1) / 2 + F.col("out") * F.col("in"))).first()[0] or 0
     tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(100_000, int(cells) // 256))
-    across = scratch.table(_cross(spread.repartition(tasks, "key", "i", "j").sortWithinPartitions("key", "i", "j"), files, percent), "cross")
+    across = _cross(spread.repartition(tasks, "key", "i", "j").sortWithinPartitions("key", "i", "j"), scratch, files, percent)
     if across.take(1):
         found = labels.select(F.col("node").alias("a"), F.col("root").alias("b")).union(across)
         labels = components(found, scratch, "all-components")
     rooted = classes.join(labels.withColumnRenamed("node", "row"), "row", "left").withColumn("root", F.coalesce("root", "row"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.min(F.struct(F.coalesce(F.col("least"), F.lit(2**63 - 1)), "row")).alias("x"))
-    by_class = scratch.table(rooted.join(least, "root").select("low", "high", "copies", "root", "component_id"), "by-class")
+    by_class = scratch.written(rooted.join(least, "root").select("low", "high", "copies", "root", "component_id"), "by-class")
     held = rows.select("row", "id", "text_hash", "n", "low", "high")
     # classes with more than a thousandth of all rows are fewer than 1,000, and would be hot keys
     hot = F.broadcast(by_class.where(F.col("copies") > rows.count() / 1000).drop("copies"))
@@ -377,7 +378,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id: str
     # an empty set has no class
     alone = held.where("n = 0").select("row", "text_hash", F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("id").alias("component_id"), F.col("row").alias("root"))
     out = some.join(hot, ["low", "high"]).unionByName(rest).select("row", "text_hash", F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id", "root").union(alone)
-    out = scratch.table(out, "rows")
+    out = scratch.written(out, "rows")
     scratch.drop("sketch", "members", "mixed", "stars", "cross", "sets", "classes", "by-class")
     firsts = out.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min("row").alias("row")).select("row", F.lit(True).alias("first"))
     return out.join(firsts, "row", "left").select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), F.coalesce("first", F.lit(False)).alias("first"), "text_hash")

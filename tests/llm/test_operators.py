@@ -7,17 +7,21 @@ import math
 import os
 import random
 import re
+import shutil
 import struct
+import subprocess
+import sys
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from conftest import DATA, against_oracle, same
 from pyspark.sql import functions as F
 
 from brindle.llm import bpe, crf, decontaminate, divergence, huffman, license_scan, ngram_trie, queries, sharding, superminhash, url_rules
-from brindle.llm.common import Scratch, words_of
+from brindle.llm.common import Scratch, local_path, words_of
 
 from .conftest import prose, table
 
@@ -662,6 +666,44 @@ def test_one_of_repeated_rows_stays(spark):
     assert sorted(r["doc_id"] for r in superminhash.keep_one(docs).collect()) == [1, 3, 4]
 
 
+def test_no_process_for_each_file(tmp_path):
+    # a process that the JVM starts has all its memory for a moment; Hadoop starts a chmod for each file that the JVM writes
+    (tmp_path / "bin").mkdir()
+    (tmp_path / "bin/chmod").write_text(f'#!/bin/sh\necho "$@" >> {tmp_path}/started\nexec {shutil.which("chmod")} "$@"\n')
+    (tmp_path / "bin/chmod").chmod(0o755)
+    code = f"""
+from pyspark.sql import SparkSession
+from brindle.llm import superminhash
+spark = SparkSession.builder.master("local[2]").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").config("spark.checkpoint.dir", "file://{tmp_path}/shared").getOrCreate()
+docs = spark.createDataFrame([(i, "some words that are there " * 3 + str(i // 2)) for i in range(20)], "doc_id bigint, text string")
+assert superminhash.near_duplicates(docs).where("kept").count() == 10
+docs.write.parquet("{tmp_path}/other")
+"""
+    subprocess.run([sys.executable, "-c", code], check=True, timeout=300, env=os.environ | {"PATH": f"{tmp_path}/bin:{os.environ['PATH']}"})
+    started = (tmp_path / "started").read_text().splitlines()
+    assert any("/other/" in x for x in started) and not [x for x in started if ".parquet" in x and "/shared/" in x]
+
+
+def test_written_tables(spark):
+    scratch = Scratch(spark, "test")
+    df = spark.range(50_000).selectExpr("id", "if(id % 3 = 0, null, cast(id as string)) AS s", "if(id % 5 = 0, null, array(id, null)) AS a", "id % 2 = 0 AS b").repartition(7)
+    got = scratch.written(df, "some", most=1 << 16)
+    assert got.dtypes == df.dtypes
+    assert got.exceptAll(df).count() == df.exceptAll(got).count() == 0
+    assert scratch.written(df.limit(0), "none").count() == 0 and os.listdir(scratch.folder("none")) == []
+    assert not os.path.exists(os.path.join(local_path(scratch.uri), "some-drafts"))
+    # a damaged page is an error, not other rows
+    path = os.path.join(scratch.folder("some"), os.listdir(scratch.folder("some"))[0])
+    at = pq.ParquetFile(path).metadata.row_group(0).column(0)
+    with open(path, "r+b") as f:
+        f.seek((at.data_page_offset + at.dictionary_page_offset + at.total_compressed_size) // 2)
+        byte = f.read(1)[0]
+        f.seek(-1, os.SEEK_CUR)
+        f.write(bytes([byte ^ 255]))
+    with pytest.raises(Exception, match="FAILED_READ_FILE"):
+        got.select("id").collect()
+
+
 # ---------------------------------------------------------------- 8
 
 
