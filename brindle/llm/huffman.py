@@ -135,7 +135,7 @@ class Words:
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.type = np.uint16 if self.library.get_vocab_size() <= 1 << 16 else np.uint32
         #: ids of chunks that follow a space, by what follows it, and of words with and without a space before them
-        self.most, self.known, self.words = most, {}, {}
+        self.most, self.known, self.words = most, Known(self._chunk), {}
         self.characters = str.maketrans({chr(b): c for b, c in enumerate(_byte_characters())})
         self.code = "H" if self.type == np.uint16 else "I"
         self.marks = {"": b""} | {c: self._ids(c) for c in ".,;:!?"}
@@ -173,40 +173,38 @@ class Words:
         second = self._plain(b, "") if first else None
         return first + self.line_feed + second if second else None
 
-    def learn(self, chunks: set[str]) -> dict[str, bytes]:
-        """The ids of the chunks."""
+    def _chunk(self, chunk: str) -> bytes:
+        """Ids of a chunk that follows a space."""
+        found = self._lines(chunk) if "\n" in chunk else self._plain(chunk, SPACE)
+        return self._ids(" " + chunk) if found is None else found
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
         for cache in (self.known, self.words):
             if len(cache) > self.most:
                 cache.clear()
-        known = self.known
-        out, other = {}, []
-        for c in chunks:
-            found = known.get(c)
-            if found is None:
-                found = self._lines(c) if "\n" in c else self._plain(c, SPACE)
-                if found is None:
-                    other.append(c)
-                    continue
-                known[c] = found
-            out[c] = found
-        for k in range(0, len(other), 4096):
-            some = other[k : k + 4096]
-            for c, e in zip(some, self.library.encode_batch([" " + c for c in some], add_special_tokens=False)):
-                out[c] = known[c] = array(self.code, e.ids).tobytes()
+        out, ids = [], self.known.__getitem__
+        for t in texts:
+            if not t:
+                out.append(b"")
+            elif any(s in t for s in self.special):
+                out.append(self._ids(t))
+            else:
+                parts = self.CUT.split(t) if self.ODD.search(t) else t.split(" ")
+                # the first chunk has no space before it
+                first = parts.pop(0)
+                out.append((self._plain(first, "") or self._ids(first)) + b"".join(map(ids, parts)))
         return out
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        split, chunks = [], set()
-        for t in texts:
-            if t and any(s in t for s in self.special):
-                split.append(None)
-                continue
-            parts = self.CUT.split(t) if t and self.ODD.search(t) else (t or "").split(" ")
-            split.append(parts)
-            chunks.update(parts[1:])
-        known = self.learn(chunks)
-        # the first chunk has no space before it
-        return [self._ids(t) if parts is None else b"".join([self._plain(parts[0], "") or self._ids(parts[0]), *[known[c] for c in parts[1:]]]) for t, parts in zip(texts, split)]
+
+class Known(dict):
+    """Ids by chunk; a chunk that isn't there yet is encoded by `encode` and kept."""
+
+    def __init__(self, encode):
+        self.encode = encode
+
+    def __missing__(self, chunk: str) -> bytes:
+        found = self[chunk] = self.encode(chunk)
+        return found
 
 
 def _byte_characters() -> list[str]:

@@ -765,6 +765,18 @@ def test_chunks_are_the_librarys():
         assert np.frombuffer(ids, w.type).tolist() == t.encode(text, add_special_tokens=False).ids, text
 
 
+def test_known_chunks_cost_no_calls():
+    words, r = huffman.Words(queries.tokenizer("byte_bpe_50k.json")), random.Random(5)
+    texts = [" ".join("".join(r.choices("abcdefgh", k=6)) + r.choice(["", ",", "\nx", " \t", "7"]) for _ in range(2000)) for _ in range(5)] + [None, "", " ", "a  b \n"]
+    want = [np.array(words.library.encode(t or "", add_special_tokens=False).ids, words.type).tobytes() for t in texts]
+    assert words.encode(texts) == want
+    profile = cProfile.Profile()
+    assert profile.runcall(words.encode, texts) == want
+    profile.create_stats()
+    # the texts have 10,000 different chunks
+    assert sum(s[1] for s in profile.stats.values()) < 30 * len(texts) + 100
+
+
 # ---------------------------------------------------------------- 9
 
 
