@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from brindle.errors import Refused
 from brindle.functions import dates
 from brindle.operators.query import translate
+from brindle.plans.queries import ORACLE_SQL, QUERIES
 from brindle.plans.search import explain, search
 from brindle.sources.catalog import Catalog, Index
 
@@ -229,3 +230,14 @@ def test_filters_and_columns_reach_the_scan(spark):
     assert "GreaterThanOrEqual(o_orderdate" in plan
     read = plan.split("ReadSchema: struct<")[-1].split(">")[0]
     assert "o_totalprice" not in read and "o_custkey" not in read
+
+
+def test_all_buckets_of_terms(spark, duck, tmp_path):
+    """A size of None cuts nothing, whatever the number of buckets; the query that asks for it gives all rows of its SQL."""
+    orders = spark.range(10_050 * 15 + 14).select(F.col("id").alias("o_orderkey"), F.floor(F.col("id") / 15).alias("o_custkey"))
+    orders.write.parquet(f"{tmp_path}/orders.parquet")
+    got = QUERIES["b_terms_min_doc_count"](spark, str(tmp_path)).collect()
+    want = duck.execute(ORACLE_SQL["b_terms_min_doc_count"].replace("FROM orders", f"FROM '{tmp_path}/orders.parquet/*.parquet'")).fetchall()
+    assert sorted(map(tuple, got)) == sorted(want) and len(want) == 10_050
+    found = search(Index("o", orders, "o_orderkey", ("o_orderkey",)), {"size": 0, "aggs": {"c": {"terms": {"field": "o_custkey", "size": None}}}}).aggregations
+    assert found["c"].count() == 10_051 and found["c:other"].first()["sum_other_doc_count"] == 0
