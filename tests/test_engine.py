@@ -3,7 +3,7 @@
 from datetime import datetime
 
 import pytest
-from conftest import DATA
+from conftest import DATA, same
 from pyspark.sql import functions as F
 
 from brindle.errors import Refused
@@ -241,3 +241,24 @@ def test_all_buckets_of_terms(spark, duck, tmp_path):
     assert sorted(map(tuple, got)) == sorted(want) and len(want) == 10_050
     found = search(Index("o", orders, "o_orderkey", ("o_orderkey",)), {"size": 0, "aggs": {"c": {"terms": {"field": "o_custkey", "size": None}}}}).aggregations
     assert found["c"].count() == 10_051 and found["c:other"].first()["sum_other_doc_count"] == 0
+
+
+def all_hits(spark, duck, folder, name):
+    """A registered query over more texts than its page had, against its SQL."""
+    texts = [f"idiot clown {'License. ' * (i % 3 + 1)}{'w ' * (i % 5)}" if i % 40 else "the" if i % 80 else None for i in range(5_300)]
+    texts = [x or "none of it" for x in texts] if "tokens" in name else texts
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.mode("overwrite").parquet(f"{folder}/documents.parquet")
+    got = QUERIES[name](spark, str(folder))
+    want = duck.execute(ORACLE_SQL[name].replace("FROM documents", f"FROM '{folder}/documents.parquet/*.parquet'")).fetchall()
+    same([(r["doc_id"], r["score"]) for r in got.collect()], want)
+    return len(want)
+
+
+@pytest.mark.parametrize("name", ["f_fuzzy", "f_tokens_whitespace", "f_tokens_ngram"])
+def test_all_hits_of_a_text_query(name, spark, duck, tmp_path):
+    assert all_hits(spark, duck, tmp_path, name) > 5_000
+
+
+def test_a_size_of_none_cuts_no_hits(hint):
+    assert search(hint, {"size": None}).hits.count() == 40
+    assert [r["id"] for r in search(hint, {"size": None, "from": 5, "sort": [{"id": "desc"}]}).hits.collect()] == list(range(34, -1, -1))
