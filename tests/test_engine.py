@@ -254,7 +254,7 @@ def all_hits(spark, duck, folder, name):
     return len(want)
 
 
-@pytest.mark.parametrize("name", ["f_fuzzy", "f_tokens_whitespace", "f_tokens_ngram"])
+@pytest.mark.parametrize("name", ["f_fuzzy", "f_fuzzy_auto", "f_tokens_whitespace", "f_tokens_ngram"])
 def test_all_hits_of_a_text_query(name, spark, duck, tmp_path):
     assert all_hits(spark, duck, tmp_path, name) > 5_000
 
