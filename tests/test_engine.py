@@ -262,3 +262,19 @@ def test_all_hits_of_a_text_query(name, spark, duck, tmp_path):
 def test_a_size_of_none_cuts_no_hits(hint):
     assert search(hint, {"size": None}).hits.count() == 40
     assert [r["id"] for r in search(hint, {"size": None, "from": 5, "sort": [{"id": "desc"}]}).hits.collect()] == list(range(34, -1, -1))
+
+
+@pytest.mark.parametrize("n", [1, 3, 5])
+def test_ngrams_take_linear_time(n, spark):
+    """All stretches of n characters, also beyond the basic plane and over line ends; a long text costs no more for each of them than a short one."""
+    import time
+
+    from brindle.functions.text import count_tokens, tokens
+
+    texts = ["", "ab", "Abc\r\n\u2028d\U0001f600\U0001f601éf\U00010400", "xyz" * 5, None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    want = [None if t is None else [t.lower()[i : i + n] for i in range(len(t) - n + 1)] for t in texts]
+    assert [tuple(r) for r in df.select(tokens(F.col("t"), "ngram", True, n), count_tokens(F.col("t"), "ngram", True, n)).collect()] == [(w, None if w is None else len(w)) for w in want]
+    start = time.time()
+    long = spark.range(1).select(F.repeat(F.lit("Aé "), 200_000).alias("t"))
+    assert long.select(F.size(tokens(F.col("t"), "ngram", True, n))).first()[0] == 600_000 - n + 1 and time.time() - start < 30
