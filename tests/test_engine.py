@@ -278,3 +278,41 @@ def test_ngrams_take_linear_time(n, spark):
     start = time.time()
     long = spark.range(1).select(F.repeat(F.lit("Aé "), 200_000).alias("t"))
     assert long.select(F.size(tokens(F.col("t"), "ngram", True, n))).first()[0] == 600_000 - n + 1 and time.time() - start < 30
+
+
+def test_exact_percentiles_sort_only_the_parts_that_hold_the_ranks(spark):
+    """The same values as sorted lists give, with ties, negative numbers, infinities, nulls and groups without values; no task holds a map of all values."""
+    import math
+    import random
+
+    r = random.Random(5)
+    draw = {"a": lambda: r.gauss(0, 1e6), "b": lambda: float(r.randrange(-3, 4)), "c": lambda: None, "d": lambda: r.choice([-math.inf, math.inf, 1e300, 5e-324, 0.0]), "e": lambda: 7.25 + r.random() * 1e-9}
+    rows = [(i, g, draw[g]()) for i, g in enumerate(r.choices("abcde", k=12_000))] + [(12_000, "f", 3.5)]
+    index = Index("p", spark.createDataFrame(rows, "id int, g string, v double").repartition(3), "id", ("id",))
+    percents = [0, 0.1, 33.3, 50, 99.9, 100]
+    aggs = {"p": {"percentiles": {"field": "v", "percents": percents, "exact": True}}, "m": {"median_absolute_deviation": {"field": "v"}}, "n": {"value_count": {"field": "v"}}}
+
+    def at(values, share):
+        values = sorted(values)
+        k = (len(values) - 1) * share
+        low, high = values[math.floor(k)], values[math.ceil(k)]
+        return low if low == high else (math.ceil(k) - k) * low + (k - math.floor(k)) * high
+
+    def wanted(values):
+        if not values:
+            return [None] * len(percents) + [None, 0]
+        middle = at(values, 0.5)
+        away = [abs(v - middle) for v in values]
+        return [at(values, p / 100) for p in percents] + [None if any(math.isnan(x) for x in away) else at(away, 0.5), len(values)]
+
+    fields = [f"p.{float(p)}" for p in percents] + ["m", "n"]
+    got = {x["g"]: [x[f] for f in fields] for x in search(index, {"size": 0, "aggs": {"g": {"terms": {"field": "g"}, "aggs": aggs}}}).aggregations["g"].collect()}
+    want = {g: wanted([v for _, h, v in rows if h == g and v is not None]) for g in "abcdef"}
+    got["d"][-2], want["d"][-2] = None, None
+    same([(g, *v) for g, v in got.items()], [(g, *v) for g, v in want.items()])
+    finite = Index("p", index.df.where("g <> 'd'"), "id", ("id",))
+    found = search(finite, {"size": 0, "aggs": aggs}).aggregations[""]
+    same([tuple(found.first()[f] for f in fields)], [tuple(wanted([v for _, h, v in rows if h != "d" and v is not None]))])
+    assert "percentile(" not in found._jdf.queryExecution().toString()
+    empty = search(Index("p", index.df.limit(0), "id", ("id",)), {"size": 0, "aggs": aggs}).aggregations[""].collect()
+    assert [tuple(x[f] for f in fields) for x in empty] == [(None,) * 7 + (0,)]
